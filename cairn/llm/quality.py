@@ -58,7 +58,7 @@ def measure(text: str | None) -> tuple[int, int, int, int, int, int]:
     """The measures of one whole text, in the order of MEASURES. A null text counts as empty."""
     text = text or ""
     words = text.encode("utf-8", "surrogatepass").split()
-    lines = [x for line in text.split("\n") if (x := line) and line.strip(WHITE)]
+    lines = [line for line in text.split("\n") if line.strip(WHITE)]
     return (
         len(words),
         len(text) - sum(map(text.count, WHITE)),

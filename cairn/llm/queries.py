@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import quality
+from cairn.llm import bpe, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op6_byte_bpe": bpe.op6,
         "op7_quality_rules": quality.op7,
     }
 
