@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import bpe, quality
+from cairn.llm import bpe, quality, sharding, tokencount
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_hypergeometric_shards": sharding.op2,
         "op6_byte_bpe": bpe.op6,
         "op7_quality_rules": quality.op7,
+        "op8_token_counts": tokencount.op8,
     }
 
 
