@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import bpe, html, mixing, quality, sharding, tokencount
+from cairn.llm import bpe, html, langid, mixing, neighbours, quality, sharding, tokencount
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_hypergeometric_shards": sharding.op2,
+        "op3_string_kernel_languages": langid.op3,
         "op4_tag_path_ratios": html.op4,
         "op5_entropy_balancing": mixing.op5,
         "op6_byte_bpe": bpe.op6,
         "op7_quality_rules": quality.op7,
         "op8_token_counts": tokencount.op8,
+        "op10_graph_neighbours": neighbours.op10,
     }
 
 
