@@ -15,6 +15,8 @@ BITS = 30
 ONE = 1 << BITS
 TOLERANCE = 1e-7
 MAX_STEPS = 60
+#: Newton steps that one job takes, so that few intermediate tables are written.
+STEPS_A_JOB = 6
 ROWS_PER_BLOCK = 100_000
 
 
@@ -64,33 +66,40 @@ def solve_tilts(histogram: DataFrame, targets: DataFrame, tolerance: float = TOL
         F.when(F.col("target") >= F.col("source_size") * MOST * (1 - 1e-9), infinite).otherwise(0.0).alias("tilt"),
         F.lit(float("-inf")).alias("low"), infinite.alias("high"),
     )
-    state = materialize(state.withColumn("done", F.col("tilt") == infinite), "mixing-tilts")
-    rows = histogram.where("size > 0").alias("h")
-    for _ in range(max_steps):
+    state, written = state.withColumn("done", F.col("tilt") == infinite), None
+    rows = histogram.where("size > 0")
+    for _ in range(0, max_steps, STEPS_A_JOB):
+        for _ in range(STEPS_A_JOB):
+            state = _newton_step(rows, state, tolerance)
+        state, previous = materialize(state, "mixing-tilts"), written
+        written = state
+        if previous is not None:
+            release(previous)
         if not state.where("not done").limit(1).count():
             break
-        s = state.where("not done").alias("s")
-        joined = rows.join(s, F.col("h.source").eqNullSafe(F.col("s.source")))
-        rate = _rate(F.col("tilt"), F.col("size"), F.col("scale"))
-        words = rate.cast("decimal(38,0)") * F.col("size") * F.col("n")
-        slope = F.when(rate < MOST * ONE, rate.cast("decimal(38,0)") * F.col("size") * F.col("size") * F.col("n")).otherwise(0)
-        sums = joined.groupBy("s.source").agg(F.sum(words.cast("decimal(38,0)")).alias("words"), F.sum(slope.cast("decimal(38,0)")).alias("slope")).alias("g")
-        step = state.alias("s").join(sums, F.col("s.source").eqNullSafe(F.col("g.source")), "left")
-        gap = F.col("words").cast("double") / ONE - F.col("target")
-        low = F.when(gap < 0, F.greatest("low", "tilt")).otherwise(F.col("low"))
-        high = F.when(gap > 0, F.least("high", "tilt")).otherwise(F.col("high"))
-        newton = F.col("tilt") - gap * F.col("scale") / (F.col("slope").cast("double") / ONE)
-        halves = F.when(F.isnull("low") | (F.col("low") == float("-inf")), F.col("high") * 2 - 1).when(F.col("high") == float("inf"), F.col("low") * 2 + 1).otherwise((F.col("low") + F.col("high")) / 2)
-        moved = step.select("s.source", "target", "scale", "tilt", low.alias("low"), high.alias("high"), "done", gap.alias("gap"), F.when(F.col("slope") > 0, newton).alias("newton"))
-        inside = F.col("newton").isNotNull() & (F.col("newton") > F.col("low")) & (F.col("newton") < F.col("high"))
-        closed = F.col("done") | (F.abs("gap") <= F.col("target") * tolerance) | (F.col("high") - F.col("low") <= F.abs("tilt") * 1e-13)
-        new = moved.withColumn("closed", closed).select("source", "target", "scale", F.when(F.col("closed"), F.col("tilt")).when(inside, F.col("newton")).otherwise(halves).alias("tilt"), "low", "high", F.col("closed").alias("done"))
-        new = materialize(new, "mixing-tilts")
-        release(state)
-        state = new
     return state.select("source", "tilt", "scale")
 
 
+def _newton_step(rows: DataFrame, state: DataFrame, tolerance: float) -> DataFrame:
+    """Moves every tilt once: by Newton where that stays within the bracket, else to its middle."""
+    s = state.withColumnRenamed("source", "of")
+    joined = rows.join(s, rows["source"].eqNullSafe(s["of"])).withColumn("rate", _rate(F.col("tilt"), F.col("size"), F.col("scale")).cast("decimal(38,0)"))
+    words = (F.col("rate") * F.col("size") * F.col("n")).cast("decimal(38,0)")
+    slope = F.when(F.col("rate") < MOST * ONE, (F.col("rate") * F.col("size") * F.col("size") * F.col("n")).cast("decimal(38,0)")).otherwise(0)
+    # the state rides along with its sums: a step reads the one before it once, so steps chain in one plan
+    kept = [F.first(c).alias(c) for c in ("target", "scale", "tilt", "low", "high", "done")]
+    step = joined.groupBy("source").agg(*kept, F.sum(words).alias("words"), F.sum(slope).alias("slope"))
+    step = step.withColumns({"gap": F.col("words").cast("double") / ONE - F.col("target"), "slope": F.col("slope").cast("double") / ONE})
+    step = step.withColumns({"low": F.when(F.col("gap") < 0, F.greatest("low", "tilt")).otherwise(F.col("low")), "high": F.when(F.col("gap") > 0, F.least("high", "tilt")).otherwise(F.col("high"))})
+    newton = F.when(F.col("slope") > 0, F.col("tilt") - F.col("gap") * F.col("scale") / F.col("slope"))
+    middle = F.when(F.col("low") == float("-inf"), F.col("high") * 2 - 1).when(F.col("high") == float("inf"), F.col("low") * 2 + 1).otherwise((F.col("low") + F.col("high")) / 2)
+    step = step.withColumns({"newton": newton, "middle": middle})
+    step = step.withColumn("closed", F.col("done") | (F.abs("gap") <= F.col("target") * tolerance) | (F.col("high") - F.col("low") <= F.abs("tilt") * 1e-13))
+    inside = (F.col("newton") > F.col("low")) & (F.col("newton") < F.col("high"))
+    moved = F.when(F.col("closed"), F.col("tilt")).when(inside, F.col("newton")).otherwise(F.col("middle"))
+    return step.select("source", "target", "scale", moved.alias("tilt"), "low", "high", F.col("closed").alias("done"))
+
+
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, seed: int = 7) -> DataFrame:
     """Per row of ``docs`` (doc_id, source, size): source_size, target, rate, copies (0 to MOST) and taken = copies * size.
 

@@ -11,7 +11,7 @@ from cairn.llm.common import materialize, read_table
 
 NEAREST = 20
 #: Out-edges of a node, width of the beam while building and while asking, nodes expanded at a time, slack of the pruning.
-DEGREE, BUILD_BEAM, ASK_BEAM, EXPAND, ALPHA = 28, 56, 72, 4, 1.2
+DEGREE, BUILD_BEAM, ASK_BEAM, EXPAND, ALPHA = 48, 96, 128, 4, 1.1
 BATCH = 256
 #: Distinct vectors of a shard: few rows make few shards, a large table makes shards of the upper bound.
 SHARD_ROWS, SHARDS_FIRST = (4096, 65_536), 64
