@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import bpe, html, langid, mixing, neighbours, quality, sharding, tokencount
+from cairn.llm import bpe, html, jaccard, langid, mixing, neighbours, quality, sharding, tokencount
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_byte_bpe": bpe.op6,
         "op7_quality_rules": quality.op7,
         "op8_token_counts": tokencount.op8,
+        "op9_chosen_path_join": jaccard.op9,
         "op10_graph_neighbours": neighbours.op10,
     }
 
