@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 #: A word, wherever an operator counts words: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -21,10 +22,18 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: lineage ends at files that outlive any executor."""
+    """Writes ``df`` to the shared folder and reads it back: lineage ends at files that outlive any executor.
+
+    The job's shuffle files go when it ends: nothing reads them once the table stands.
+    """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    kept = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, kept)
     back = spark.read.schema(df.schema).parquet(path)
     back._scratch_path = path
     return back

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import bpe, html, jaccard, langid, mixing, neighbours, quality, sharding, tokencount
+from cairn.llm import bpe, html, jaccard, langid, mixing, neighbours, quality, sharding, suffixes, tokencount
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_array": suffixes.op1,
         "op2_hypergeometric_shards": sharding.op2,
         "op3_string_kernel_languages": langid.op3,
         "op4_tag_path_ratios": html.op4,
