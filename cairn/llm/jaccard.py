@@ -253,7 +253,8 @@ def jaccard_groups(docs: DataFrame, similarity: float = SIMILARITY, words: int =
     wanted = groups.join(sizes, "group").join(sets, "sid")
     wanted = materialize(wanted, "jaccard-wanted")
     # texts are read again for the sets in groups alone; their copies stay behind
-    texts = docs.select(F.col("doc_id").alias("set_id"), "text").join(wanted.select("set_id", "sid", "weight").where("set_id is not null"), "set_id")
+    few = wanted.select("set_id", "sid", "weight").where("set_id is not null")
+    texts = docs.select(F.col("doc_id").alias("set_id"), "text").join(few.hint("shuffle_hash"), "set_id")
     tokens = texts.select("sid", "weight", "text").mapInArrow(_tokens_batches(words), "sid binary, weight bigint, tokens array<bigint>")
     tokens = tokens.join(wanted.select("sid", "group", "size"), "sid")
     blocks = F.ceil(F.col("size") / BLOCK)
