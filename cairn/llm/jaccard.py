@@ -111,7 +111,7 @@ def candidate_links(sets: DataFrame, similarity: float = SIMILARITY, recall: flo
         for level in range(1, LEVELS + 1):
             keyed = open_rows.withColumn("bucket", F.xxhash64("run", F.lit(level), F.substring("path", 1, 4 * level)))
             counts = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-            met = materialize(keyed.join(counts.where("n > 1"), "bucket"), "jaccard-level")
+            met = materialize(keyed.join(counts.where("n > 1").hint("merge"), "bucket"), "jaccard-level")
             leaves.append(met.where(F.col("n") <= LIMIT if level < LEVELS else F.lit(True)).withColumn("depth", F.lit(level)))
             open_rows = met.where(F.col("n") > LIMIT).select("sid", "run", "path")
             if level == LEVELS or not open_rows.limit(1).count():
@@ -125,7 +125,7 @@ def candidate_links(sets: DataFrame, similarity: float = SIMILARITY, recall: flo
         large = F.col("n") > F.lit(4 * BLOCK)
         block = F.pmod(F.xxhash64("sid"), F.ceil(F.col("n") / BLOCK))
         placed = found.withColumn("bucket", F.when(large, F.xxhash64("bucket", block)).otherwise(F.col("bucket")))
-        with_samples = placed.select("bucket", "sid").join(sets.select("sid", "samples"), "sid")
+        with_samples = placed.select("bucket", "sid").join(sets.select("sid", "samples").hint("merge"), "sid")
         links = with_samples.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_links, "a binary, b binary").distinct()
         parts.append(materialize(links, "jaccard-links"))
         heads = found.where(large).groupBy("bucket").agg(F.min("sid").alias("head"))
@@ -220,8 +220,8 @@ def _verify(similarity: float):
 def _tokens_batches(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens = [shingle_hashes(t.as_py(), words).view(np.int64) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tokens, pa.list_(pa.int64()))], names=["sid", "weight", "tokens"])
+            tokens = [shingle_hashes(t.as_py(), words).view(np.int64) for t in batch.column(4)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(tokens, pa.list_(pa.int64()))], names=["sid", "weight", "group", "size", "tokens"])
 
     return run
 
@@ -253,10 +253,9 @@ def jaccard_groups(docs: DataFrame, similarity: float = SIMILARITY, words: int =
     wanted = groups.join(sizes, "group").join(sets, "sid")
     wanted = materialize(wanted, "jaccard-wanted")
     # texts are read again for the sets in groups alone; their copies stay behind
-    few = wanted.select("set_id", "sid", "weight").where("set_id is not null")
+    few = wanted.where("set_id is not null")
     texts = docs.select(F.col("doc_id").alias("set_id"), "text").join(few.hint("shuffle_hash"), "set_id")
-    tokens = texts.select("sid", "weight", "text").mapInArrow(_tokens_batches(words), "sid binary, weight bigint, tokens array<bigint>")
-    tokens = tokens.join(wanted.select("sid", "group", "size"), "sid")
+    tokens = texts.select("sid", "weight", "group", "size", "text").mapInArrow(_tokens_batches(words), "sid binary, weight bigint, group binary, size bigint, tokens array<bigint>")
     blocks = F.ceil(F.col("size") / BLOCK)
     own = F.pmod(F.xxhash64("sid"), blocks)
     dealt = tokens.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
