@@ -23,6 +23,8 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 MEMO_ENTRIES, MEMO_CHARS = 250_000, 64
 #: Pre-tokens of a text held at a time.
 SLICE = 200_000
+#: Ids that one batch of results may hold before it is sent.
+BATCH_IDS = 2_000_000
 _MIX, _WORD = 0x9E3779B97F4A7C15, 0xFFFFFFFFFFFFFFFF
 _SHIFT = 32
 
@@ -148,8 +150,13 @@ def _codec(key: tuple, broadcast) -> Codec:
     return _CODECS[key]
 
 
+def _encoded(ids: pa.Array, rows: list[tuple], with_ids: bool) -> pa.RecordBatch:
+    kinds = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()} | ({"ids": pa.list_(pa.int32())} if with_ids else {})
+    return pa.RecordBatch.from_arrays([ids, *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values()))], names=["doc_id", *kinds])
+
+
 def encode_decode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """Per row: its id, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``, with ``with_ids`` also the ``ids`` and ``decoded`` bytes.
+    """Per row: its id, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``, with ``with_ids`` also the ``ids``.
 
     Each match of ``pattern`` is encoded by itself: the perfect hash answers for pre-tokens that are vocabulary, the
     heap merges the others. The ids are then decoded to bytes. Texts are worked through whole, slice by slice. A null
@@ -163,27 +170,24 @@ def encode_decode(docs: DataFrame, path: str, pattern: str = public_tokenizers.P
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(key, shared)
         for batch in batches:
-            rows = []
+            first, rows, size = 0, [], 0
             for text in batch.column(1):
-                n, ids_hash, decoded_hash, ids, decoded = 0, hashlib.sha256(), hashlib.sha256(), [], []
+                n, ids_hash, decoded_hash, ids = 0, hashlib.sha256(), hashlib.sha256(), []
                 for part in codec.encode(text.as_py() or ""):
-                    back = codec.decode(part)
                     n += len(part) // 4
                     ids_hash.update(part)
-                    decoded_hash.update(back)
+                    decoded_hash.update(codec.decode(part))
                     if with_ids:
-                        ids.append(np.frombuffer(part, "<u4").astype(np.int64))
-                        decoded.append(back)
-                rows.append((n, ids_hash.hexdigest(), decoded_hash.hexdigest(), np.concatenate(ids or [np.zeros(0, np.int64)]), b"".join(decoded)))
-            columns = [batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                columns += [pa.array([r[3] for r in rows], pa.list_(pa.int64())), pa.array([r[4] for r in rows], pa.binary())]
-                names += ["ids", "decoded"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+                        ids.append(np.frombuffer(part, "<i4"))
+                rows.append((n, ids_hash.hexdigest(), decoded_hash.hexdigest(), np.concatenate(ids or [np.zeros(0, np.int32)])))
+                size += n * with_ids
+                if size > BATCH_IDS:
+                    yield _encoded(batch.column(0).slice(first, len(rows)), rows, with_ids)
+                    first, rows, size = first + len(rows), [], 0
+            yield _encoded(batch.column(0).slice(first, len(rows)), rows, with_ids)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<bigint>, decoded binary" * with_ids
+    schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 

@@ -57,6 +57,12 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """Adds (u, v), 128 bits of hash that rows of equal doc_id and text share, and other rows don't."""
+    text = text_or_empty()
+    return docs.withColumns({"u": F.xxhash64(F.lit(1), "doc_id", text), "v": F.xxhash64(F.lit(2), text, "doc_id")})
+
+
 def running_offset(df: DataFrame, group: list[str], order: list[str], amount: str, name: str) -> DataFrame:
     """Adds ``name``: the sum of ``amount`` over the rows of the same ``group`` that come earlier in ``order``.
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import materialize, read_table, release
+from cairn.llm.common import keyed, materialize, read_table, release, text_or_empty
 from cairn.llm.shingles import _BASE, _BYTE, _INVERSE, _power, group_bounds, mix, whole_groups
 
 LENGTH = 200
@@ -287,10 +287,10 @@ def _cover_batches(length: int):
                 turns = np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))
                 spans = list(zip(np.flatnonzero(turns == 1).tolist(), np.flatnonzero(turns == -1).tolist(), strict=True))
                 kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-                rows.append((u, v, int(gone.sum()), len(spans), hashlib.sha256(kept).hexdigest(), [{"start": s, "end": e} for s, e in spans], kept))
+                rows.append((u, v, int(gone.sum()), len(spans), hashlib.sha256(kept).hexdigest(), [{"start": s, "end": e} for s, e in spans], kept.decode("utf-8", "ignore")))
             span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), span, pa.binary()])],
+                [pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), span, pa.string()])],
                 names=["u", "v", "n_removed", "n_spans", "kept_sha256", "spans", "kept"],
             )
 
@@ -317,7 +317,9 @@ def _first_of_repeated(rows: DataFrame, keys: list[str], first_start) -> DataFra
 
 
 def repeated_bytes(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
-    """Per distinct row (u, v) with removed bytes: n_removed, n_spans, kept_sha256, spans and the kept bytes; ``docs`` is (u, v, text).
+    """Per distinct row (u, v) with removed bytes: n_removed, n_spans, kept_sha256, spans and ``kept``; ``docs`` is (u, v, text).
+
+    ``kept`` is the remaining bytes as text, without what is left of a character that a span cuts.
 
     A byte goes if a string of ``length`` bytes covers it that starts anywhere else too, in any text.
 
@@ -361,17 +363,11 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     extra = materialize(known.union(more).groupBy("u", "v").agg(F.collect_set(F.struct("start", "run")).alias("extra")), "suffixes-extra")
     release(piece, texts)
     covered = work.join(extra, ["u", "v"], "left").select("u", "v", "text", "marks", "extra").mapInArrow(
-        _cover_batches(length), "u bigint, v bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:int,end:int>>, kept binary"
+        _cover_batches(length), "u bigint, v bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:int,end:int>>, kept string"
     )
     return covered.where("n_removed > 0")
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """Adds (u, v), 128 bits of hash that rows of equal id and text share; a null text counts as empty."""
-    text = F.coalesce("text", F.lit(""))
-    return docs.withColumns({"text": text, "u": F.xxhash64(F.lit(1), "doc_id", text), "v": F.xxhash64(F.lit(2), text, "doc_id")})
-
-
 def dedup_suffixes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): n_bytes, n_removed, n_spans, kept_sha256; see :func:`repeated_bytes`.
 
@@ -379,7 +375,7 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     count. Rows of equal id and text are texts of their own: they repeat one another. An empty table gives an empty
     result; other columns are not read.
     """
-    texts = keyed(docs.select("doc_id", "text"))
+    texts = keyed(docs.select("doc_id", text_or_empty().alias("text")))
     cut = repeated_bytes(texts.select("u", "v", "text"), length).select("u", "v", "n_removed", "n_spans", "kept_sha256").groupBy("u", "v").agg(*(F.max(c).alias(c) for c in ("n_removed", "n_spans", "kept_sha256")))
     cut = materialize(cut, "suffixes-result")
     whole = texts.select("doc_id", "u", "v", F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("whole"))

@@ -1,15 +1,93 @@
-"""A corpus pipeline over ``documents``: each stage calls one operator and returns what it keeps."""
+"""A corpus pipeline over ``documents``: each stage calls one operator and returns what it keeps.
+
+Every stage but the last returns the columns of ``documents``. A row is known by its id and text together, so rows that
+share an id don't share a verdict.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cairn.llm.bpe import VOCABULARY, encode_decode
+from cairn.llm.common import keyed, materialize, text_or_empty
+from cairn.llm.jaccard import jaccard_groups
+from cairn.llm.mixing import mix_sources, with_sizes
+from cairn.llm.quality import quality_rules
+from cairn.llm.suffixes import repeated_bytes
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``row`` in place of doc_id: the id and the hashes of the row, in the order of ids."""
+    return keyed(docs).withColumn("row", F.struct("doc_id", "u", "v"))
+
+
+def _by_row(docs: DataFrame) -> DataFrame:
+    return _rows(docs).drop("doc_id").withColumnRenamed("row", "doc_id")
+
+
+def _on_row(docs: DataFrame, other: DataFrame, how: str, repeated: bool = False) -> DataFrame:
+    """Joins ``other``, keyed by row as ``of``, to ``docs``; with ``repeated`` equal rows have become one before."""
+    rows = _rows(docs)
+    if repeated:
+        rows = rows.dropDuplicates(["u", "v"])
+    of = other.select(F.col("of.u").alias("u"), F.col("of.v").alias("v"), *[c for c in other.columns if c != "of"])
+    return rows.join(of.hint("shuffle_hash"), ["u", "v"], how)
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules or their hosts reject go."""
+    verdicts = quality_rules(_by_row(docs)).where("kept").select(F.col("doc_id").alias("of")).distinct()
+    return _on_row(docs, verdicts, "left_semi").select(*docs.columns)
+
+
+def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, that of the least id; of equal rows one."""
+    groups = jaccard_groups(_by_row(docs))
+    kept = materialize(groups.where("class_id = doc_id").groupBy(F.col("doc_id").alias("of")).agg(F.count(F.lit(1)).alias("n")), "pipeline-kept")
+    repeated = bool(kept.where("n > 1").limit(1).count())
+    return _on_row(docs, kept.select("of"), "left_semi", repeated).select(*docs.columns)
+
+
+def suffixes_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes in strings of 200 bytes that stand elsewhere too go from the texts; what is left of a cut character goes too."""
+    texts = keyed(docs.select("doc_id", "text")).select("u", "v", text_or_empty().alias("text"))
+    cut = repeated_bytes(texts).groupBy("u", "v").agg(F.first("kept").alias("kept"))
+    cut = materialize(cut.select(F.struct("u", "v").alias("of"), F.col("kept").alias("rest")), "pipeline-cut")
+    joined = _on_row(docs, cut, "left")
+    changed = {"text": F.coalesce("rest", "text"), "n_chars": F.when(F.col("rest").isNull(), F.col("n_chars")).otherwise(F.char_length("rest")).cast(docs.schema["n_chars"].dataType)}
+    return joined.withColumns(changed).select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: not at all, once or twice."""
+    mixed = mix_sources(with_sizes(_by_row(docs)))
+    copies = materialize(mixed.groupBy(F.col("doc_id").alias("of")).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("n")), "pipeline-copies")
+    repeated = bool(copies.where("n > 1").limit(1).count())
+    taken = copies.where("copies > 0").select("of", "copies")
+    return _on_row(docs, taken, "inner", repeated).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*docs.columns)
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of each document, and the digests of the ids and of the bytes decoded from them."""
+    return encode_decode(docs, public_tokenizers.path(VOCABULARY), with_ids=True)
+
 
-STAGES = []
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("ngram_jaccard_join", near_duplicates_stage),
+    ("suffix_array_dedup", suffixes_stage),
+    ("mixing_to_target_weights", mixing_stage),
+    ("byte_level_bpe", encoding_stage),
+]
+#: Chosen paths, suffix sorting and BPE merges are not for SQL; tests hold run() against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written to the shared folder and read again as the next one's input."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
