@@ -15,6 +15,8 @@ from cairn.llm.common import read_table
 #: Bounds of the fit: labelled rows, landmarks among them, and n-grams of the landmarks (those in most landmarks stay).
 MAX_TRAIN, MAX_LANDMARKS, MAX_GRAMS = 1600, 320, 60_000
 RIDGE = 1e-3
+#: Languages whose counts go to all tasks; a label that takes more values is joined by shuffle.
+MAX_BROADCAST = 100_000
 SPACE = (1 << 24) + (1 << 16) + (1 << 8)
 SLICE, ROWS = 1 << 20, 128
 UNKNOWN = "und"
@@ -98,7 +100,7 @@ def training_samples(labelled: DataFrame, most: int = MAX_TRAIN) -> list[tuple[s
     # so many hashes as make about four times the rows wanted: what top-k then gathers doesn't grow with the table
     counts = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     share = F.pmod("mark", F.lit(1 << 30)) * F.col("n") < F.lit(float(4 * max(1, most // n) * (1 << 30)))
-    ids = ids.join(counts, "lang").where(share).drop("n")
+    ids = ids.join(F.broadcast(counts) if n <= MAX_BROADCAST else counts, "lang").where(share).drop("n")
     few = ids.distinct().withColumn("rank", rank).where(F.col("rank") <= max(1, most // n)).select("doc_id", "mark")
     texts = labelled.join(F.broadcast(few), "doc_id").groupBy("doc_id", "mark", "lang").agg(F.min("text").alias("text"))
     rows = texts.select("mark", "lang", "text").mapInArrow(_spectra, "mark bigint, lang string, grams array<int>").collect()
