@@ -13,10 +13,14 @@ _UNITS = ("KiB", "MiB", "GiB", "TiB")
 
 
 def format_size(size: Column) -> Column:
-    """A size in the largest unit of which it is half at least, with one decimal; bytes have none."""
-    out = F.format_string("%.1f " + _UNITS[-1], size / F.lit(1024.0 ** len(_UNITS)))
+    """A size in the largest unit of which it is half at least, with one decimal, ties to even; bytes have none."""
+
+    def shown(power: int) -> Column:
+        return F.format_string(f"%.1f {_UNITS[power - 1]}", F.bround(size / F.lit(1024.0**power), 1))
+
+    out = shown(len(_UNITS))
     for power in range(len(_UNITS) - 1, 0, -1):
-        out = F.when(size < 512 * 1024**power, F.format_string(f"%.1f {_UNITS[power - 1]}", size / F.lit(1024.0**power))).otherwise(out)
+        out = F.when(size < 512 * 1024**power, shown(power)).otherwise(out)
     return F.when(size < 512, F.format_string("%d Byte", size.cast("long"))).otherwise(out)
 
 

@@ -200,8 +200,8 @@ def content_chunks(df: DataFrame, content: str, method: str, size: int, keep: li
                 names.append("data")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:k])
-    return picked.mapInArrow(run, f"{kept}, {SCHEMA}" + ", data binary" * with_data)
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:k]]
+    return picked.mapInArrow(run, ", ".join([*kept, SCHEMA]) + ", data binary" * with_data)
 
 
 def chunks(df: DataFrame, content: str, chunker, keep: list[str], hash_method: str = "md5") -> DataFrame:

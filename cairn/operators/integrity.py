@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.functions.hashes import digests
+from cairn.model import Compression
+from cairn.operators.codecs import decompress
+
 
 def missing_chunks(refs: DataFrame, index: DataFrame) -> DataFrame:
     """References that the index can't place."""
@@ -37,6 +42,22 @@ def changed_chunks(chunks: DataFrame, digest: Callable[[Column], Column] = F.md5
     return chunks.where(digest(F.col("data")) != F.col("hash"))
 
 
+def rehashed(chunks: DataFrame, codec: Compression | None, method: str) -> DataFrame:
+    """(stored_hash, hash): what each stored chunk hashes to now; null where it can't even be decoded."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for data in batch.column(1).to_pylist():
+                try:
+                    found.append(digests(method, [decompress(data, codec)])[0])
+                except Exception:  # each codec has errors of its own; any of them means damage
+                    found.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=["stored_hash", "hash"])
+
+    return chunks.select("hash", "data").mapInArrow(run, "stored_hash string, hash string")
+
+
 def catalog_delta(found: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """(key, change): ``new`` for what is found and not known, ``gone`` for the reverse."""
     new = found.join(known, key, "left_anti").select(key, F.lit("new").alias("change"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -23,7 +23,7 @@ def value_stats(df: DataFrame, value: str, by: list[str]) -> DataFrame:
         joined = df.select(*by, value).join(stats, by)
     else:
         row = stats.first()
-        joined = df.select(value).withColumns({c: F.lit(row[c]) for c in ("min", "max", "avg", "stddev", "n")})
+        joined = df.select(value).withColumns({c: F.lit(row[c]).cast(stats.schema[c].dataType) for c in ("min", "max", "avg", "stddev", "n")})
     v, mean, dev, alone = F.col(value), F.col("avg"), F.col("stddev"), F.col("n") < 2
     bucket = F.when(alone, "m").when(v < mean - 2 * dev, "xs").when(v < mean - dev, "s").when(v < mean + dev, "m").when(v < mean + 2 * dev, "l").otherwise("xl")
     counts = [F.count_if(F.col("_b") == b).alias(f"count_{b}") for b in ("xs", "s", "m", "l", "xl")]
@@ -59,8 +59,6 @@ def reclaim_histogram(used: DataFrame, steps: int = 10) -> DataFrame:
     step = F.ceil(F.round(F.col("ratio") * steps, 9)).cast("int")
     by_step = used.groupBy(step.alias("step")).agg(F.sum("unused_size").alias("u"), F.sum("used_size").alias("w"), F.count(F.lit(1)).alias("b"))
     grid = spark.range(steps + 1).select(F.col("id").cast("int").alias("step"))
-    from pyspark.sql import Window
-
     so_far = Window.orderBy("step")
     out = grid.join(by_step, "step", "left")
     return out.select("step", *(F.coalesce(F.sum(a).over(so_far), F.lit(0)).alias(b) for a, b in (("b", "bundles"), ("u", "reclaim"), ("w", "rewrite"))))
