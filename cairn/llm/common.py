@@ -1,66 +1,31 @@
-"""Shared helpers: written intermediate tables and prefix sums over any number of partitions."""
+"""What operators of this subpackage share: words, keys of rows, and offsets of blocks; and the engine's written tables."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A word, wherever an operator counts words: a run of anything but the six ASCII white-space characters.
-WORD = r"[^\x20\x09-\x0D]+"
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share for intermediate tables.
+from cairn.tables import materialize, read_table, release, scratch_root
 
-    It is ``spark.checkpoint.dir``; only where that is unset (tests, local runs) the warehouse holds it.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    return root or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: lineage ends at files that outlive any executor.
-
-    The job's shuffle files go when it ends: nothing reads them once the table stands.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    kept = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, kept)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._scratch_path = path
-    return back
+__all__ = ["WORD", "keyed", "materialize", "read_table", "release", "row_hashes", "running_offset", "scratch_root", "text_or_empty"]
 
-
-def release(*tables: DataFrame) -> None:
-    """Deletes tables that :func:`materialize` wrote, once nothing reads them any more."""
-    for table in tables:
-        path = getattr(table, "_scratch_path", None)
-        if path:
-            jvm = table.sparkSession._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: A word, wherever an operator counts words: a run of anything but the six ASCII white-space characters.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """Adds (u, v), 128 bits of hash that rows of equal doc_id and text share, and other rows don't."""
+def row_hashes() -> list[Column]:
+    """(u, v), 128 bits of hash that rows of equal doc_id and text share, and other rows don't."""
     text = text_or_empty()
-    return docs.withColumns({"u": F.xxhash64(F.lit(1), "doc_id", text), "v": F.xxhash64(F.lit(2), text, "doc_id")})
+    return [F.xxhash64(F.lit(1), "doc_id", text).alias("u"), F.xxhash64(F.lit(2), text, "doc_id").alias("v")]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) with :func:`row_hashes`."""
+    return docs.select("*", *row_hashes())
 
 
 def running_offset(df: DataFrame, group: list[str], order: list[str], amount: str, name: str) -> DataFrame:

@@ -11,25 +11,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm.bpe import VOCABULARY, encode_decode
-from cairn.llm.common import keyed, materialize, text_or_empty
+from cairn.llm.common import keyed, materialize, row_hashes, text_or_empty
 from cairn.llm.jaccard import jaccard_groups
 from cairn.llm.mixing import mix_sources, with_sizes
 from cairn.llm.quality import quality_rules
 from cairn.llm.suffixes import repeated_bytes
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``row`` in place of doc_id: the id and the hashes of the row, in the order of ids."""
-    return keyed(docs).withColumn("row", F.struct("doc_id", "u", "v"))
-
-
 def _by_row(docs: DataFrame) -> DataFrame:
-    return _rows(docs).drop("doc_id").withColumnRenamed("row", "doc_id")
+    """What operators read, with the row (its id and hashes, in the order of ids) in place of doc_id."""
+    return docs.select(F.struct("doc_id", *row_hashes()).alias("doc_id"), "text", "source")
 
 
 def _on_row(docs: DataFrame, other: DataFrame, how: str, repeated: bool = False) -> DataFrame:
-    """Joins ``other``, keyed by row as ``of``, to ``docs``; with ``repeated`` equal rows have become one before."""
-    rows = _rows(docs)
+    """``docs``, each row whole in ``doc`` so that no other column's name can clash, joined with ``other``, keyed by row as ``of``.
+
+    With ``repeated``, equal rows become one before.
+    """
+    rows = docs.select(F.struct("*").alias("doc"), *row_hashes())
     if repeated:
         rows = rows.dropDuplicates(["u", "v"])
     of = other.select(F.col("of.u").alias("u"), F.col("of.v").alias("v"), *[c for c in other.columns if c != "of"])
@@ -39,7 +38,7 @@ def _on_row(docs: DataFrame, other: DataFrame, how: str, repeated: bool = False)
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules or their hosts reject go."""
     verdicts = quality_rules(_by_row(docs)).where("kept").select(F.col("doc_id").alias("of")).distinct()
-    return _on_row(docs, verdicts, "left_semi").select(*docs.columns)
+    return _on_row(docs, verdicts, "left_semi").select("doc.*")
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +46,7 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     groups = jaccard_groups(_by_row(docs))
     kept = materialize(groups.where("class_id = doc_id").groupBy(F.col("doc_id").alias("of")).agg(F.count(F.lit(1)).alias("n")), "pipeline-kept")
     repeated = bool(kept.where("n > 1").limit(1).count())
-    return _on_row(docs, kept.select("of"), "left_semi", repeated).select(*docs.columns)
+    return _on_row(docs, kept.select("of"), "left_semi", repeated).select("doc.*")
 
 
 def suffixes_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,9 +54,8 @@ def suffixes_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     texts = keyed(docs.select("doc_id", "text")).select("u", "v", text_or_empty().alias("text"))
     cut = repeated_bytes(texts).groupBy("u", "v").agg(F.first("kept").alias("kept"))
     cut = materialize(cut.select(F.struct("u", "v").alias("of"), F.col("kept").alias("rest")), "pipeline-cut")
-    joined = _on_row(docs, cut, "left")
-    changed = {"text": F.coalesce("rest", "text"), "n_chars": F.when(F.col("rest").isNull(), F.col("n_chars")).otherwise(F.char_length("rest")).cast(docs.schema["n_chars"].dataType)}
-    return joined.withColumns(changed).select(*docs.columns)
+    changed = {"text": F.coalesce("rest", "doc.text"), "n_chars": F.when(F.col("rest").isNull(), F.col("doc.n_chars")).otherwise(F.char_length("rest")).cast(docs.schema["n_chars"].dataType)}
+    return _on_row(docs, cut, "left").select(*(changed.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +64,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     copies = materialize(mixed.groupBy(F.col("doc_id").alias("of")).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("n")), "pipeline-copies")
     repeated = bool(copies.where("n > 1").limit(1).count())
     taken = copies.where("copies > 0").select("of", "copies")
-    return _on_row(docs, taken, "inner", repeated).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*docs.columns)
+    return _on_row(docs, taken, "inner", repeated).select("doc", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).select("doc.*")
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
