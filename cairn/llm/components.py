@@ -28,16 +28,15 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """``edges`` is (a, b) of any ordered type; returns (node, root): for every node of an edge the least node it is linked with.
 
-    Large and small stars alternate until the edges are stars that no longer change. Every round is written to the
+    Large and small stars alternate until the edges are stars. Every round is written to the
     shared folder. Loops and repeated edges don't matter; no edges give no rows.
     """
     current = materialize(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
-    mark = None
     for _ in range(max_rounds):
-        row = current.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if not row["n"] or mark == (row["n"], row["h"]):
+        # stars with the least node at the centre: no centre is a leaf, and a leaf has one centre
+        centres, leaves = current.select("b").distinct(), current.select(F.col("a").alias("b"))
+        if leaves.join(centres, "b", "left_semi").isEmpty() and current.groupBy("a").count().where("count > 1").isEmpty():
             break
-        mark = (row["n"], row["h"])
         large = materialize(_star(current, small=False), "components")
         release(current)
         current = materialize(_star(large, small=True), "components")

@@ -16,9 +16,10 @@ from cairn.llm.shingles import WORDS, group_bounds, set_digest, shingle_hashes,
 
 SIMILARITY = 0.8
 TARGET_RECALL = 0.9999
-#: Samples kept of a set, runs that start at once, levels of a path, and sets that a bucket may hold before it splits.
-SAMPLES, RUNS, LEVELS, LIMIT = 96, 8, 6, 128
-MAX_ROUNDS = 6
+#: Samples kept of a set, levels of a path, and sets that a bucket may hold before it splits.
+SAMPLES, LEVELS, LIMIT = 96, 6, 128
+#: Runs for all sets, and of each later round for those that need more: two rounds suffice for leaves of all levels.
+RUNS, MORE_RUNS, MAX_ROUNDS = 8, 24, 4
 #: Sets of a block: a larger bucket of the last level, or group to verify, is worked through in pairs of blocks.
 BLOCK = 512
 #: Share of equal samples from which a pair is verified: 4.4 standard deviations under the similarity.
@@ -102,8 +103,8 @@ def candidate_links(sets: DataFrame, similarity: float = SIMILARITY, recall: flo
     """
     parts, waiting, total_runs = [], sets.select("sid", "samples"), 0
     for turn in range(MAX_ROUNDS):
-        runs = range(total_runs, total_runs + RUNS)
-        total_runs += RUNS
+        runs = range(total_runs, total_runs + (MORE_RUNS if turn else RUNS))
+        total_runs = runs.stop
         value = lambda i: F.substring("samples", 4 * i + 1, 4)
         paths = F.array(*(F.struct(F.lit(r).alias("run"), F.concat(*(value(_sample(r, k)) for k in range(LEVELS))).alias("path")) for r in runs))
         rows = waiting.select("sid", F.explode(paths).alias("p")).select("sid", "p.run", "p.path")
@@ -114,7 +115,7 @@ def candidate_links(sets: DataFrame, similarity: float = SIMILARITY, recall: flo
             met = materialize(keyed.join(counts.where("n > 1").hint("merge"), "bucket"), "jaccard-level")
             leaves.append(met.where(F.col("n") <= LIMIT if level < LEVELS else F.lit(True)).withColumn("depth", F.lit(level)))
             open_rows = met.where(F.col("n") > LIMIT).select("sid", "run", "path")
-            if level == LEVELS or not open_rows.limit(1).count():
+            if level == LEVELS or open_rows.isEmpty():
                 break
             # this run ends a level deeper for them, wherever that is: a partner is missed with probability 1 - similarity ** depth
             deeper.append(open_rows.select("sid", F.lit(math.log(1 - similarity ** (level + 1)) - math.log(1 - similarity**level)).alias("excess")))
@@ -125,12 +126,12 @@ def candidate_links(sets: DataFrame, similarity: float = SIMILARITY, recall: flo
         large = F.col("n") > F.lit(4 * BLOCK)
         block = F.pmod(F.xxhash64("sid"), F.ceil(F.col("n") / BLOCK))
         placed = found.withColumn("bucket", F.when(large, F.xxhash64("bucket", block)).otherwise(F.col("bucket")))
-        with_samples = placed.select("bucket", "sid").join(sets.select("sid", "samples").hint("merge"), "sid")
+        with_samples = placed.select("bucket", "sid").join(waiting.hint("merge"), "sid")
         links = with_samples.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_links, "a binary, b binary").distinct()
         parts.append(materialize(links, "jaccard-links"))
         heads = found.where(large).groupBy("bucket").agg(F.min("sid").alias("head"))
-        if heads.limit(1).count():
-            s = sets.select("sid", "samples")
+        if not heads.isEmpty():
+            s = waiting
             starred = found.where(large).join(heads, "bucket").select("sid", "head").distinct()
             starred = starred.join(s, "sid").join(s.select(F.col("sid").alias("head"), F.col("samples").alias("own")), "head")
             equal = sum((F.substring("samples", 4 * i + 1, 4) == F.substring("own", 4 * i + 1, 4)).cast("int") for i in range(SAMPLES))
@@ -145,9 +146,9 @@ def candidate_links(sets: DataFrame, similarity: float = SIMILARITY, recall: flo
         excess = materialize(summed.groupBy("sid").agg(F.sum("excess").alias("excess")), "jaccard-recall")
         bound = total_runs * math.log(1 - similarity) + F.col("excess")
         lacking = excess.where(bound > math.log(1 - recall)).select("sid")
-        if not lacking.limit(1).count():
+        if lacking.isEmpty():
             break
-        waiting = materialize(sets.select("sid", "samples").join(lacking, "sid", "left_semi"), "jaccard-waiting")
+        waiting = materialize(waiting.join(lacking.hint("shuffle_hash"), "sid", "left_semi"), "jaccard-waiting")
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
@@ -187,7 +188,8 @@ def _verify(similarity: float):
             values = table["tokens"].combine_chunks()
             offsets, flat = values.offsets.to_numpy(), values.values.to_numpy()
             tokens = [flat[i:j] for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
-            out_sid, out_links, out_root = [], [], []
+            parted = table["parted"].to_pylist()
+            out_sid, out_links, out_root, out_parted = [], [], [], []
             for start, end in zip(bounds[:-1], bounds[1:], strict=True):
                 items = np.arange(start, end)
                 a, b = items[left[start:end] == 0], items[left[start:end] == 1]
@@ -212,7 +214,9 @@ def _verify(similarity: float):
                         out_sid.append(sids[i])
                         out_links.append(links[int(i)])
                         out_root.append(sids[every[root[k]]])
-            yield pa.RecordBatch.from_arrays([pa.array(out_sid, pa.binary()), pa.array(out_links, pa.int64()), pa.array(out_root, pa.binary())], names=["sid", "links", "root"])
+                        out_parted.append(parted[start])
+            columns = [pa.array(out_sid, pa.binary()), pa.array(out_links, pa.int64()), pa.array(out_root, pa.binary()), pa.array(out_parted, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=["sid", "links", "root", "parted"])
 
     return run
 
@@ -260,13 +264,18 @@ def jaccard_groups(docs: DataFrame, similarity: float = SIMILARITY, words: int =
     own = F.pmod(F.xxhash64("sid"), blocks)
     dealt = tokens.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     task = F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other"))
-    dealt = dealt.select(task.alias("task"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "sid", "weight", "tokens")
-    verified = dealt.repartition("task").sortWithinPartitions("task").mapInArrow(_verify(similarity), "sid binary, links bigint, root binary")
+    dealt = dealt.select(task.alias("task"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), (blocks > 1).alias("parted"), "sid", "weight", "tokens")
+    verified = dealt.repartition("task").sortWithinPartitions("task").mapInArrow(_verify(similarity), "sid binary, links bigint, root binary, parted boolean")
     verified = materialize(verified, "jaccard-verified")
 
-    classes = connected_components(verified.select(F.col("sid").alias("a"), F.col("root").alias("b")))
-    links = verified.groupBy("sid").agg(F.sum("links").alias("links"))
-    named = sets.join(classes.select(F.col("node").alias("sid"), "root"), "sid", "left").join(links, "sid", "left")
+    # a group verified in one task has its roots from there; parts of larger ones are joined by the links between blocks
+    found = verified.where("not parted").select("sid", "root", "links")
+    parted = verified.where("parted")
+    if not parted.isEmpty():
+        classes = connected_components(parted.select(F.col("sid").alias("a"), F.col("root").alias("b")))
+        links = parted.groupBy("sid").agg(F.sum("links").alias("links"))
+        found = found.unionByName(links.join(classes.select(F.col("node").alias("sid"), "root"), "sid"))
+    named = sets.join(found, "sid", "left")
     named = materialize(named.withColumn("root", F.coalesce("root", "sid")), "jaccard-named")
     least = named.groupBy("root").agg(F.min("set_id").alias("class_id"))
     result = named.join(least, "root").select("sid", "class_id", "set_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
