@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import bpe, html, jaccard, langid, mixing, neighbours, quality, sharding, suffixes, tokencount
+from cairn.llm import bpe, html, jaccard, langid, mixing, neighbours, oracles, quality, sharding, suffixes, tokencount
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_suffix_array": oracles.SUFFIXES, "op7_quality_rules": oracles.QUALITY, "op9_chosen_path_join": oracles.JACCARD}
