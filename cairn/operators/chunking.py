@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.hashes import digests
+from cairn.tables import spread
 
 # The multipliers and the masks that published chunk boundaries rest on.
 LCG_MULTIPLIER = 6364136223846793005
@@ -176,7 +177,7 @@ def fixed_chunks(df: DataFrame, content: str, size: int, keep: list[str], digest
 def content_chunks(df: DataFrame, content: str, method: str, size: int, keep: list[str], seed: int = 0, hash_method: str = "md5", with_data: bool = False) -> DataFrame:
     """``keep`` columns and (ord, offset, len, hash) of each chunk, with ``with_data`` its bytes too."""
     ends = ENDS[method]
-    picked = df.select(*keep, F.col(content).cast("binary").alias("_data"))
+    picked = spread(df.select(*keep, F.col(content).cast("binary").alias("_data")))
     k = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ from cairn.functions import scalars
 from cairn.model import Chunker, Compression
 from cairn.operators import chunking, codecs, compare, dedup, integrity, restore, retention, rollup, usage
 from cairn.sources import tables as src
-from cairn.tables import read_table
+from cairn.tables import read_table, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -507,7 +507,7 @@ for _hash in ("blake2", "murmur3"):
 
 @query("SELECT doc_id, c AS codec, md5(text) AS content_id FROM documents, unnest(['deflate/6', 'brotli/3', 'lzma/2', 'lz4/5']) t(c)")
 def compression_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, out = read_table(spark, sf_dir, "documents"), None
+    docs, out = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")), None
     for name in ("deflate/6", "brotli/3", "lzma/2", "lz4/5"):
         codec = Compression.parse(name)
         back = codecs.decompressed(codecs.compressed(F.col("text").cast("binary"), codec), codec)

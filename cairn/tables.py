@@ -55,6 +55,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many partitions as there are cores, if it is a plain scan of fewer: a small file then keeps all of them busy.
+
+    A scan of more partitions, as of any large table, stays as it is, without a shuffle; so does what has shuffled already.
+    """
+    if df.isStreaming:
+        return df
+    plan = df._jdf.queryExecution()
+    if "Exchange" in plan.executedPlan().toString() or "Scan parquet" not in plan.executedPlan().toString():
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if plan.toRdd().getNumPartitions() < cores else df
+
+
 def running_total(df: DataFrame, group: list[str], order: list[str], amount: Column, name: str) -> DataFrame:
     """Adds ``name``: the sum of ``amount`` over the rows of the same ``group`` before this one in ``order``.
 
