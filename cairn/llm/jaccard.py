@@ -17,9 +17,9 @@ from cairn.llm.shingles import WORDS, group_bounds, set_digest, shingle_hashes,
 SIMILARITY = 0.8
 TARGET_RECALL = 0.9999
 #: Samples kept of a set, levels of a path, and sets that a bucket may hold before it splits.
-SAMPLES, LEVELS, LIMIT = 96, 6, 128
-#: Runs for all sets, and of each later round for those that need more: two rounds suffice for leaves of all levels.
-RUNS, MORE_RUNS, MAX_ROUNDS = 8, 24, 4
+SAMPLES, LEVELS, LIMIT = 96, 6, 1024
+#: Runs for all sets, enough for leaves of two levels; and of each later round, for those that went deeper.
+RUNS, MORE_RUNS, MAX_ROUNDS = 10, 20, 4
 #: Sets of a block: a larger bucket of the last level, or group to verify, is worked through in pairs of blocks.
 BLOCK = 512
 #: Share of equal samples from which a pair is verified: 4.4 standard deviations under the similarity.
