@@ -123,7 +123,8 @@ def quality_rules(docs: DataFrame, host: str = "source", limit: float = HOST_LIM
     Only ``doc_id``, ``text`` and the host column are read; other columns don't matter.
     """
     measured = materialize(measures(docs, host), "quality")
-    hosts = host_verdicts(measured, limit).select("host", "host_ok")
+    # written, so that its size is known: few hosts are sent to the rows, many are joined by shuffle with skew split
+    hosts = materialize(host_verdicts(measured, limit).select("host", "host_ok"), "quality-hosts")
     failed = F.expr(f"({RULES['short']}) or ({RULES['repetitive']})")
     judged = measured.join(hosts, "host", "left").withColumn("base_failed", failed)
     return judged.select("doc_id", *MEASURES, "base_failed", (~F.col("base_failed") & F.coalesce("host_ok", F.lit(True))).alias("kept"), "host", "host_ok")
