@@ -120,7 +120,9 @@ def count_tokens(docs: DataFrame, path: str, cache: str, limit: int = TOKEN_LIMI
     found = texts.join(missing.hint("shuffle_hash"), (texts["own"] == missing["digest"]) & texts["id"].eqNullSafe(missing["of"])).select("digest", "text")
     fresh = found.mapInArrow(_count_batches(path, version), "digest string, n_tokens bigint").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     fresh.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache)
-    counts = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    counts = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("version") == version).join(keyed, "digest", "left_semi")
+    # written, so that both sides of the join are plain exchanges, of which a digest of very many copies is split
+    counts = materialize(counts.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "tokencount-counts")
     return keyed.join(counts, "digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
