@@ -304,7 +304,8 @@ def _open_and_repeated(rows: DataFrame, keys: list[str], content: list[str], cou
     """
     kinds = rows.groupBy(*keys, *content).agg(count.alias("n"), F.max("recurs").alias("recurs"))
     groups = kinds.groupBy(*keys).agg(F.count(F.lit(1)).alias("kinds"), F.max("recurs").alias("any"))
-    info = kinds.drop("recurs").join(groups, keys).where("n > 1 or kinds > 1 or any")
+    # written, so that both sides of the next join are plain exchanges, of which a content of very many rows is split
+    info = materialize(kinds.drop("recurs").join(groups, keys).where("n > 1 or kinds > 1 or any"), "suffixes-kinds")
     return rows.drop("recurs").join(info, [*keys, *content]).withColumns({"repeated": F.col("n") > 1, "open": (F.col("kinds") > 1) | F.col("any")})
 
 
