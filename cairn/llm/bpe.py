@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 from itertools import islice
@@ -19,14 +20,13 @@ from pyspark.sql import functions as F
 from cairn.llm.common import read_table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Results remembered by a worker, and the longest pre-token among them: some 60 MB.
+#: Results remembered by a worker in each of two generations, and the longest pre-token among them: some 100 MB.
 MEMO_ENTRIES, MEMO_CHARS = 250_000, 64
 #: Pre-tokens of a text held at a time.
 SLICE = 200_000
 #: Ids that one batch of results may hold before it is sent.
 BATCH_IDS = 2_000_000
 _MIX, _WORD = 0x9E3779B97F4A7C15, 0xFFFFFFFFFFFFFFFF
-_SHIFT = 32
 
 
 class PerfectHash:
@@ -81,8 +81,11 @@ class Codec:
         if None in self.byte_ids:
             raise ValueError("the vocabulary lacks single bytes")
         #: (left id, right id) -> id of the two joined, for every way to join two tokens to a token
-        self.joins = {rank[t[:i]] << _SHIFT | rank[t[i:]]: r for t, r in rank.items() for i in range(1, len(t)) if t[:i] in rank and t[i:] in rank}
+        self.shift = max(ids).bit_length()
+        self.joins = {rank[t[:i]] << self.shift | rank[t[i:]]: r for t, r in rank.items() for i in range(1, len(t)) if t[:i] in rank and t[i:] in rank}
+        #: results by pre-token, and those of the generation before: a full memo becomes the old one, what is used again moves on
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     @classmethod
     def load(cls, path: str, pattern: str = public_tokenizers.PATTERN) -> Codec:
@@ -92,39 +95,49 @@ class Codec:
 
     def merge(self, piece: bytes) -> list[int]:
         """Joins neighbours, least rank first and leftmost among equals, until none can be joined."""
-        n, joins = len(piece), self.joins
-        ids = [self.byte_ids[b] for b in piece]
+        n, join, shift = len(piece), self.joins.get, self.shift
+        place = n.bit_length()  # bits of a heap entry that tell where; the others are the rank
+        mask = (1 << place) - 1
+        byte_ids = self.byte_ids
+        ids = [byte_ids[b] for b in piece]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        rank = [joins.get(a << _SHIFT | b, -1) for a, b in zip(ids, ids[1:], strict=False)] + [-1]
-        heap = [r << _SHIFT | i for i, r in enumerate(rank) if r >= 0]
+        rank = [join(a << shift | b, -1) for a, b in zip(ids, ids[1:], strict=False)]
+        rank.append(-1)
+        heap = [r << place | i for i, r in enumerate(rank) if r >= 0]
         heapify(heap)
         while heap:
             top = heappop(heap)
-            i, r = top & 0xFFFFFFFF, top >> _SHIFT
+            i, r = top & mask, top >> place
             if rank[i] != r:
                 continue  # one of the two has been joined to another since
             j = after[i]
             k = after[i] = after[j]
-            ids[i], ids[j], rank[j], rank[i] = r, -1, -1, -1
+            ids[i], ids[j], rank[j] = r, -1, -1
             if k < n:
                 before[k] = i
-                if (x := joins.get(r << _SHIFT | ids[k], -1)) >= 0:
-                    rank[i] = x
-                    heappush(heap, x << _SHIFT | i)
-            if (p := before[i]) >= 0:
-                rank[p] = x = joins.get(ids[p] << _SHIFT | r, -1)
+                rank[i] = x = join(r << shift | ids[k], -1)
                 if x >= 0:
-                    heappush(heap, x << _SHIFT | p)
+                    heappush(heap, x << place | i)
+            else:
+                rank[i] = -1
+            p = before[i]
+            if p >= 0:
+                rank[p] = x = join(ids[p] << shift | r, -1)
+                if x >= 0:
+                    heappush(heap, x << place | p)
         return [x for x in ids if x >= 0]
 
     def piece(self, token: str) -> bytes:
         """The ids of one pre-token as little-endian unsigned 32-bit integers."""
-        raw = token.encode("utf-8", "surrogatepass")
-        found = self.whole.get(raw)
-        out = np.array([self.ids[found]] if found >= 0 else self.merge(raw), "<u4").tobytes()
+        out = self.old.get(token)
+        if out is None:
+            raw = token.encode("utf-8", "surrogatepass")
+            found = self.whole.get(raw)
+            ids = [self.ids[found]] if found >= 0 else self.merge(raw)
+            out = struct.pack(f"<{len(ids)}I", *ids)
         if len(token) <= MEMO_CHARS:
             if len(self.memo) >= MEMO_ENTRIES:
-                self.memo.clear()
+                self.old, self.memo = self.memo, {}
             self.memo[token] = out
         return out
 
