@@ -109,3 +109,8 @@ def hex_text(data: Column) -> Column:
 def unhex_text(text: Column) -> Column:
     """Bytes of hex, white space passed over; null if it is no hex."""
     return F.unhex(F.regexp_replace(text, "\\s", ""))
+
+
+def mail_date(seconds: Column) -> Column:
+    """Seconds since 1970 as mail headers write times, in the session's time zone."""
+    return F.date_format(F.timestamp_seconds(seconds), "EEE, d MMM yyyy HH:mm:ss xx")

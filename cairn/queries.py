@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import scalars
 from cairn.model import Chunker, Compression
-from cairn.operators import chunking, codecs, compare, dedup, integrity, restore, retention, rollup, usage
+from cairn.operators import chunking, codecs, compare, dedup, integrity, restore, retention, rollup, usage, views
 from cairn.sources import tables as src
 from cairn.tables import read_table, spread
 
@@ -260,6 +260,18 @@ def entry_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.documents(spark, sf_dir).select("path", "type", "size", F.floor(F.col("size") / 512).alias("blocks"), "mtime", "mode", "uid", "gid", scalars.device_number(F.col("gid"), F.col("uid")).alias("rdev"))
 
 
+@query(f"WITH {DOCS} SELECT path, type AS kind, size, size // 512 AS blocks, mode & 4095 AS perm, uid, gid FROM docs WHERE source = 'src2' AND lang = 'en' AND doc_id % 2 = 0")
+def lookup_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Children of a directory by name: those whose name has an even number."""
+    even = src.documents(spark, sf_dir).where(scalars.base_name(F.col("path")).rlike(r"[02468]\.txt$") & (scalars.parent(F.col("path")) == "/src2/en"))
+    return views.attributes(even).select("path", "kind", "size", "blocks", "perm", "uid", "gid")
+
+
+@query("SELECT event_id, strftime(ts, '%a, %-d %b %Y %H:%M:%S') || ' +0000' AS shown FROM events")
+def mail_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "events").select("event_id", scalars.mail_date(F.unix_timestamp("ts")).alias("shown"))
+
+
 @query("SELECT p_partkey, (p_partkey >> 8)::BIGINT AS major, (p_partkey & 255)::BIGINT AS minor, p_partkey AS back FROM part")
 def device_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     major, minor = scalars.device_major(F.col("p_partkey")), scalars.device_minor(F.col("p_partkey"))
@@ -354,6 +366,11 @@ def repo_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.info(src.bundle_table(src.packed(spark, sf_dir)))
 
 
+@query(f"WITH {BUNDLES} SELECT sum(raw_size)::BIGINT // 512 AS blocks, 512::INT AS block_size FROM bundles")
+def file_system_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.file_system(src.bundle_table(src.packed(spark, sf_dir)))
+
+
 _STATS = (
     "s AS (SELECT {g} min(v) AS min, max(v) AS max, avg(v) AS avg, coalesce(stddev_samp(v), 0) AS stddev, count(*) AS n FROM x {by}) SELECT {g} any_value(s.min) AS min, any_value(s.max) AS max, any_value(s.avg) AS avg, any_value(s.stddev) AS stddev, any_value(s.n) AS n,"
     " count(*) FILTER (s.n > 1 AND v < s.avg - 2 * s.stddev) AS count_xs, count(*) FILTER (s.n > 1 AND v >= s.avg - 2 * s.stddev AND v < s.avg - s.stddev) AS count_s, count(*) FILTER (s.n < 2 OR v >= s.avg - s.stddev AND v < s.avg + s.stddev) AS count_m,"

@@ -3,7 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.operators import compare, dedup, integrity, retention, rollup, usage
+from cairn.functions.keys import Key
+from cairn.operators import compare, dedup, integrity, retention, rollup, usage, views
 from cairn.tables import running_total
 
 
@@ -117,3 +118,24 @@ def test_fan_out(spark):
         return spark.range(1).select(dedup.fan_out(F.lit("abcdef"), F.lit(n))).first()[0]
 
     assert [name(n) for n in (5, 100, 25000)] == ["abcdef", "ab/abcdef", "ab/cd/abcdef"]
+
+
+def test_views(spark):
+    schema = "path string, type string, size long, mode long, uid long, gid long, mtime long, symlink_target string, device struct<major:long,minor:long>, xattrs map<string,binary>"
+    rows = [("/d/l", "symlink", 0, 0o120777, 1, 2, 0, "x", None, {}), ("/d/f", "file", 1030, 0o100640, 1, 2, 60, None, None, {"b": b"2", "a": b"1"}), ("/dev", "block_device", 0, 0o60600, 0, 0, 0, None, (8, 1), {})]
+    df = spark.createDataFrame(rows, schema)
+    assert [r["path"] for r in views.lookup(df, "/d", "f").collect()] == ["/d/f"] and views.lookup(df, "/d", "none").count() == 0
+    found = {r["path"]: r for r in views.attributes(df).collect()}
+    assert (found["/d/f"]["blocks"], found["/d/f"]["perm"], found["/dev"]["rdev"], found["/d/f"]["rdev"]) == (2, 0o640, 2049, None)
+    assert [r[0] for r in views.link_target(df, "/d/l").collect()] == ["x"] and views.link_target(df, "/d/f").count() == 0
+    row = df.where("path = '/d/f'").select(views.attribute("a").alias("a"), views.attribute("z").alias("z"), views.attribute_names().alias("n")).first()
+    assert (bytes(row["a"]), row["z"], row["n"]) == (b"1", None, "a\0b\0")
+
+
+def test_keys(spark, tmp_path):
+    key = Key.new()
+    assert Key.load(key.save(str(tmp_path))) == key and Key.from_password("p") == Key.from_password("p") != Key.from_password("q")
+    from cairn.operators.codecs import decrypted, encrypted
+
+    df = spark.createDataFrame([(b"data",)], "d binary")
+    assert bytes(df.select(decrypted(encrypted(F.col("d"), key.column()), key.column())).first()[0]) == b"data"
