@@ -33,9 +33,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """
     current = materialize(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
     for _ in range(max_rounds):
-        # stars with the least node at the centre: no centre is a leaf, and a leaf has one centre
-        centres, leaves = current.select("b").distinct(), current.select(F.col("a").alias("b"))
-        if leaves.join(centres, "b", "left_semi").isEmpty() and current.groupBy("a").count().where("count > 1").isEmpty():
+        # stars: no node is both leaf and centre, and a leaf has one centre
+        ends = current.select(F.col("a").alias("node"), F.lit(1).alias("leaf")).union(current.select("b", F.lit(0)))
+        roles = ends.groupBy("node").agg(F.sum("leaf").alias("centres"), F.min("leaf").alias("least"))
+        if roles.where("centres > 1 or centres = 1 and least = 0").isEmpty():
             break
         large = materialize(_star(current, small=False), "components")
         release(current)

@@ -20,8 +20,10 @@ TARGET_RECALL = 0.9999
 SAMPLES, LEVELS, LIMIT = 96, 6, 1024
 #: Runs for all sets, enough for leaves of two levels; and of each later round, for those that went deeper.
 RUNS, MORE_RUNS, MAX_ROUNDS = 10, 20, 4
+#: Levels below the first that one job counts, in the first round and in later ones.
+LEVELS_AT_ONCE = ((2, 3), (4, 5, 6)), ((1, 2, 3), (4, 5, 6))
 #: Sets of a block: a larger bucket of the last level, or group to verify, is worked through in pairs of blocks.
-BLOCK = 512
+BLOCK, LARGEST = 512, 2048
 #: Share of equal samples from which a pair is verified: 4.4 standard deviations under the similarity.
 SLACK = 0.62
 COLUMNS = 8192
@@ -101,60 +103,81 @@ def candidate_links(sets: DataFrame, similarity: float = SIMILARITY, recall: flo
     at a leaf of depth d with probability similarity ** d at least; runs repeat for the sets whose leaves, so far, leave
     more than 1 - recall for a partner to be missed.
     """
-    parts, waiting, total_runs = [], sets.select("sid", "samples"), 0
+    parts, waiting, total_runs, excess = [], sets.select("sid", "samples"), 0, None
     for turn in range(MAX_ROUNDS):
         runs = range(total_runs, total_runs + (MORE_RUNS if turn else RUNS))
         total_runs = runs.stop
         value = lambda i: F.substring("samples", 4 * i + 1, 4)
         paths = F.array(*(F.struct(F.lit(r).alias("run"), F.concat(*(value(_sample(r, k)) for k in range(LEVELS))).alias("path")) for r in runs))
-        rows = waiting.select("sid", F.explode(paths).alias("p")).select("sid", "p.run", "p.path")
-        leaves, open_rows, deeper = [], rows, []
-        for level in range(1, LEVELS + 1):
-            keyed = open_rows.withColumn("bucket", F.xxhash64("run", F.lit(level), F.substring("path", 1, 4 * level)))
-            counts = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-            met = materialize(keyed.join(counts.where("n > 1").hint("merge"), "bucket"), "jaccard-level")
-            leaves.append(met.where(F.col("n") <= LIMIT if level < LEVELS else F.lit(True)).withColumn("depth", F.lit(level)))
+        open_rows = waiting.select("sid", F.explode(paths).alias("p")).select("sid", "p.run", "p.path")
+        leaves, deep = [], []
+        if not turn:
+            # most sets are alone, or among few, after one level: the others go on
+            keyed = open_rows.withColumn("bucket", F.xxhash64("run", F.substring("path", 1, 4)))
+            counts = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+            met = materialize(keyed.join(counts.hint("merge"), "bucket"), "jaccard-level")
+            leaves.append(met.where(F.col("n") <= LIMIT).select("sid", "bucket", "n"))
             open_rows = met.where(F.col("n") > LIMIT).select("sid", "run", "path")
-            if level == LEVELS or open_rows.isEmpty():
+        for levels in LEVELS_AT_ONCE[turn > 0]:
+            if open_rows.isEmpty():
                 break
-            # this run ends a level deeper for them, wherever that is: a partner is missed with probability 1 - similarity ** depth
-            deeper.append(open_rows.select("sid", F.lit(math.log(1 - similarity ** (level + 1)) - math.log(1 - similarity**level)).alias("excess")))
-        found = leaves[0]
-        for leaf in leaves[1:]:
-            found = found.union(leaf)
-        # what is still large after the last level is alike in all its samples so far: blocks of it, and its least set with all
-        large = F.col("n") > F.lit(4 * BLOCK)
-        block = F.pmod(F.xxhash64("sid"), F.ceil(F.col("n") / BLOCK))
-        placed = found.withColumn("bucket", F.when(large, F.xxhash64("bucket", block)).otherwise(F.col("bucket")))
-        with_samples = placed.select("bucket", "sid").join(waiting.hint("merge"), "sid")
-        links = with_samples.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_links, "a binary, b binary").distinct()
-        parts.append(materialize(links, "jaccard-links"))
-        heads = found.where(large).groupBy("bucket").agg(F.min("sid").alias("head"))
-        if not heads.isEmpty():
-            s = waiting
-            starred = found.where(large).join(heads, "bucket").select("sid", "head").distinct()
-            starred = starred.join(s, "sid").join(s.select(F.col("sid").alias("head"), F.col("samples").alias("own")), "head")
-            equal = sum((F.substring("samples", 4 * i + 1, 4) == F.substring("own", 4 * i + 1, 4)).cast("int") for i in range(SAMPLES))
-            parts.append(materialize(starred.where(equal >= math.ceil(SLACK * SAMPLES)).select(F.col("head").alias("a"), F.col("sid").alias("b")), "jaccard-links"))
-        if turn:
-            deeper.append(excess)
-        if not deeper:
+            found = materialize(_deep_leaves(open_rows, levels), "jaccard-leaves")
+            deep.append(found.where("leaf is not null").select("sid", "leaf.*"))
+            leaves.append(deep[-1].where("n > 1").select("sid", "bucket", "n"))
+            open_rows = found.where("leaf is null").select("sid", "run", "path")
+        parts += _links_of(_all(leaves), waiting)
+        if not deep:
             break
-        summed = deeper[0]
-        for d in deeper[1:]:
-            summed = summed.union(d)
-        excess = materialize(summed.groupBy("sid").agg(F.sum("excess").alias("excess")), "jaccard-recall")
-        bound = total_runs * math.log(1 - similarity) + F.col("excess")
-        lacking = excess.where(bound > math.log(1 - recall)).select("sid")
+        # a run that ends at a deeper level misses a partner with probability 1 - similarity ** level
+        more = _all(deep).select("sid", (F.log(1 - F.pow(F.lit(similarity), F.col("level").cast("double"))) - F.lit(math.log(1 - similarity))).alias("excess"))
+        excess = materialize((more if excess is None else more.union(excess)).groupBy("sid").agg(F.sum("excess").alias("excess")), "jaccard-recall")
+        lacking = excess.where(total_runs * math.log(1 - similarity) + F.col("excess") > math.log(1 - recall)).select("sid")
         if lacking.isEmpty():
             break
         waiting = materialize(waiting.join(lacking.hint("shuffle_hash"), "sid", "left_semi"), "jaccard-waiting")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
+    return _all(parts)
+
+
+def _all(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
     return out
 
 
+def _deep_leaves(rows: DataFrame, levels: tuple[int, ...]) -> DataFrame:
+    """``rows`` with ``leaf`` (level, bucket, n): the first of ``levels`` whose bucket has at most LIMIT sets, or the last of all.
+
+    The levels are counted at once. A leaf of one set is told too: its run has gone that deep for nothing. No leaf is null.
+    """
+    bucket = F.expr("xxhash64(run, level, substring(path, 1, 4 * level))")
+    keyed = rows.withColumn("level", F.explode(F.array(*map(F.lit, levels)))).withColumn("bucket", bucket)
+    counted = keyed.join(keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).hint("merge"), "bucket")
+    leaf = F.when((F.col("n") <= LIMIT) | (F.col("level") == LEVELS), F.struct("level", "bucket", "n"))
+    return counted.groupBy("sid", "run", "path").agg(F.min(leaf).alias("leaf"))
+
+
+def _links_of(leaves: DataFrame, samples: DataFrame) -> list[DataFrame]:
+    """Links (a, b) that join the like sets of each bucket; ``leaves`` is (sid, bucket, n).
+
+    What is large even at the last level is alike in all its samples so far: it is worked through in blocks, and its
+    least set is compared with all of it.
+    """
+    large = F.col("n") > F.lit(LARGEST)
+    block = F.pmod(F.xxhash64("sid"), F.ceil(F.col("n") / BLOCK))
+    placed = leaves.select("sid", F.when(large, F.xxhash64("bucket", block)).otherwise(F.col("bucket")).alias("bucket"))
+    with_samples = placed.join(samples.hint("merge"), "sid")
+    links = with_samples.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_links, "a binary, b binary").distinct()
+    parts = [materialize(links, "jaccard-links")]
+    heads = leaves.where(large).groupBy("bucket").agg(F.min("sid").alias("head"))
+    if not heads.isEmpty():
+        starred = leaves.where(large).join(heads, "bucket").select("sid", "head").distinct()
+        starred = starred.join(samples, "sid").join(samples.select(F.col("sid").alias("head"), F.col("samples").alias("own")), "head")
+        equal = sum((F.substring("samples", 4 * i + 1, 4) == F.substring("own", 4 * i + 1, 4)).cast("int") for i in range(SAMPLES))
+        parts.append(materialize(starred.where(equal >= math.ceil(SLACK * SAMPLES)).select(F.col("head").alias("a"), F.col("sid").alias("b")), "jaccard-links"))
+    return parts
+
+
 def _similar(a: list[np.ndarray], b: list[np.ndarray] | None, similarity: float) -> np.ndarray:
     """Which sets of ``a`` and ``b`` (or of ``a`` among themselves) are similar: exact intersections by matrix products over shared tokens."""
     every = a + (b or [])
@@ -252,7 +275,7 @@ def jaccard_groups(docs: DataFrame, similarity: float = SIMILARITY, words: int =
     samples = rows.where("sid is not null").select("sid", "samples").groupBy("sid").agg(F.first("samples").alias("samples"))
     samples = materialize(samples, "jaccard-sets")
 
-    groups = materialize(connected_components(candidate_links(samples, similarity, recall)).withColumnsRenamed({"node": "sid", "root": "group"}), "jaccard-groups")
+    groups = connected_components(candidate_links(samples, similarity, recall)).withColumnsRenamed({"node": "sid", "root": "group"})
     sizes = groups.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
     wanted = groups.join(sizes, "group").join(sets, "sid")
     wanted = materialize(wanted, "jaccard-wanted")
@@ -279,6 +302,7 @@ def jaccard_groups(docs: DataFrame, similarity: float = SIMILARITY, words: int =
     named = materialize(named.withColumn("root", F.coalesce("root", "sid")), "jaccard-named")
     least = named.groupBy("root").agg(F.min("set_id").alias("class_id"))
     result = named.join(least, "root").select("sid", "class_id", "set_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    # written, so that a set of very many documents can be split in the last join
     out = plain.join(materialize(result, "jaccard-result"), "sid", "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("set_id", "doc_id").alias("set_id"), "n_shingles")
 

@@ -63,7 +63,7 @@ def test_against_all_pairs(spark, seed):
 
 
 def test_small_buckets_split_deep_and_blocks_pair_up(spark, monkeypatch):
-    for name, value in (("LIMIT", 4), ("BLOCK", 3), ("RUNS", 8)):
+    for name, value in (("LIMIT", 4), ("BLOCK", 3), ("LARGEST", 12)):
         monkeypatch.setattr(J, name, value)
     docs = corpus(3, groups=6, passage_docs=80)
     assert result(spark, docs) == plain(docs)
