@@ -303,10 +303,12 @@ def _open_and_repeated(rows: DataFrame, keys: list[str], content: list[str], cou
     Counts are combined before they meet the rows, so a content of very many rows gathers nowhere.
     """
     kinds = rows.groupBy(*keys, *content).agg(count.alias("n"), F.max("recurs").alias("recurs"))
-    groups = kinds.groupBy(*keys).agg(F.count(F.lit(1)).alias("kinds"), F.max("recurs").alias("any"))
-    # written, so that both sides of the next join are plain exchanges, of which a content of very many rows is split
-    info = materialize(kinds.drop("recurs").join(groups, keys).where("n > 1 or kinds > 1 or any"), "suffixes-kinds")
-    return rows.drop("recurs").join(info, [*keys, *content]).withColumns({"repeated": F.col("n") > 1, "open": (F.col("kinds") > 1) | F.col("any")})
+    groups = kinds.groupBy(*keys).agg(F.count(F.lit(1)).alias("kinds"), F.max("recurs").alias("any")).where("kinds > 1 or any")
+    # what is looked up is written, so that both sides of a join are plain exchanges, of which a key of very many rows is split
+    groups = materialize(groups.select(*keys, F.lit(True).alias("open")), "suffixes-groups")
+    info = kinds.drop("recurs").join(groups, keys, "left").withColumns({"repeated": F.col("n") > 1, "open": F.coalesce("open", F.lit(False))})
+    info = materialize(info.where("repeated or open").drop("n"), "suffixes-kinds")
+    return rows.drop("recurs").join(info, [*keys, *content])
 
 
 def _first_of_repeated(rows: DataFrame, keys: list[str], first_start) -> DataFrame:
