@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.tables import materialize, read_table, release, scratch_root
+from cairn.tables import materialize, read_table, release, running_total, scratch_root
 
-__all__ = ["WORD", "keyed", "materialize", "read_table", "release", "row_hashes", "running_offset", "scratch_root", "text_or_empty"]
+__all__ = ["WORD", "keyed", "materialize", "read_table", "release", "row_hashes", "running_offset", "running_total", "scratch_root", "text_or_empty"]
 
 #: A word, wherever an operator counts words: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import WORD, materialize, read_table, release, running_offset, text_or_empty
+from cairn.llm.common import WORD, materialize, read_table, release, running_offset, running_total, text_or_empty
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -31,8 +31,8 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share
     the source's size; each round takes the capped ones out and raises the level for the rest, until none is above.
     One row of sums reaches the driver a round.
     """
-    order = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    ranked = sources.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int")))
+    ranked = running_total(sources.withColumn("last", F.col("source").isNull()), [], ["last", "source"], F.lit(1), "place")
+    ranked = ranked.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int")))
     ranked = materialize(ranked.withColumn("cap", F.col("source_size") * most), "mixing-sources")
     total = ranked.agg(F.sum("source_size")).first()[0] or 0
     level, capped = 0.0, -1
