@@ -314,7 +314,7 @@ def _open_and_repeated(rows: DataFrame, keys: list[str], content: list[str], cou
 def _first_of_repeated(rows: DataFrame, keys: list[str], first_start) -> DataFrame:
     """Keeps ``open`` on one row only of a repeated content: its strings are known to repeat, but others may repeat them."""
     place = F.struct("u", "v", first_start.alias("at"))
-    heads = rows.where("open and repeated").groupBy(*keys).agg(F.min(place).alias("head"))
+    heads = materialize(rows.where("open and repeated").groupBy(*keys).agg(F.min(place).alias("head")), "suffixes-heads")
     joined = rows.join(heads, keys, "left")
     return joined.withColumn("open", F.col("open") & (~F.col("repeated") | (place == F.col("head")))).drop("head")
 
@@ -335,9 +335,9 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     """
     found = docs.where(F.octet_length("text") >= length).mapInArrow(_phrase_batches(length, anchor), "u bigint, v bigint, anchor bigint, content bigint, start int, run int, recurs boolean")
     rows = materialize(found, "suffixes-phrases")
-    again = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max("recurs").alias("r")).where("n > 1 or r").select("anchor")
+    again = materialize(rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max("recurs").alias("r")).where("n > 1 or r").select("anchor"), "suffixes-again")
     rows2 = materialize(rows.join(again, "anchor"), "suffixes-anchors")
-    release(rows)
+    release(rows, again)
     marked = materialize(_open_and_repeated(rows2, ["anchor"], ["content"], F.count(F.lit(1))), "suffixes-marked")
     release(rows2)
     marked2 = _first_of_repeated(marked, ["anchor", "content"], F.col("start"))
