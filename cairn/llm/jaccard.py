@@ -214,8 +214,9 @@ def _verify(similarity: float):
             parted = table["parted"].to_pylist()
             out_sid, out_links, out_root, out_parted = [], [], [], []
             for start, end in zip(bounds[:-1], bounds[1:], strict=True):
-                items = np.arange(start, end)
-                a, b = items[left[start:end] == 0], items[left[start:end] == 1]
+                # rows that repeat bring their set once each
+                items = np.array(sorted({sids[i]: i for i in range(end - 1, start - 1, -1)}.values()))
+                a, b = items[left[items] == 0], items[left[items] == 1]
                 if len(a) + len(b) < 2 or not len(a):
                     continue
                 like = _similar([tokens[i] for i in a], [tokens[i] for i in b] if len(b) else None, similarity)
@@ -247,8 +248,11 @@ def _verify(similarity: float):
 def _tokens_batches(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens = [shingle_hashes(t.as_py(), words).view(np.int64) for t in batch.column(4)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(tokens, pa.list_(pa.int64()))], names=["sid", "weight", "group", "size", "tokens"])
+            tokens = [shingle_hashes(t.as_py(), words) for t in batch.column(4)]
+            # an id that repeats with other texts brings those along: they are not the set's
+            own = pa.array([set_digest(t) == sid for t, sid in zip(tokens, batch.column(0).to_pylist(), strict=True)], pa.bool_())
+            table = pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([t.view(np.int64) for t in tokens], pa.list_(pa.int64()))], names=["sid", "weight", "group", "size", "tokens"])
+            yield table.filter(own)
 
     return run
 

@@ -84,6 +84,16 @@ def test_repeated_rows_and_odd_tables(spark):
     assert J.jaccard_groups(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_ids_and_rows_that_repeat(spark):
+    """Rows count as documents, each with its own text, whatever ids they share."""
+    a = [f"w{i}" for i in range(40)]
+    near, other = [*a[:39], "z"], [f"v{i}" for i in range(40)]
+    texts = [(5, a), (5, a), (5, other), (7, near), (9, [*other[:39], "y"]), (9, a[:12])]
+    rows = J.jaccard_groups(spark.createDataFrame([(i, " ".join(t)) for i, t in texts], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_links"], r["n_shingles"]) for r in rows) == [(5, 1, 36), (5, 2, 36), (5, 2, 36), (7, 2, 36), (9, 0, 8), (9, 1, 36)]
+    assert {r["class_id"] for r in rows if r["n_links"]} == {5}
+
+
 def test_shingle_hashes():
     assert len(shingle_hashes(None)) == len(shingle_hashes(" \n")) == 0 and len(shingle_hashes("a b")) == 1
     assert np.array_equal(shingle_hashes("a b  c\td e f"), shingle_hashes("a b c d e f")) and len(shingle_hashes("a b c d e f")) == 2
