@@ -22,7 +22,8 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
     tied = facing.join(least, "a")
     out = tied.select(F.col("b").alias("a"), F.col("m").alias("b"))
     out = out.union(least.select("a", F.col("m").alias("b"))) if small else out.where(F.col("a") >= tied["a"])
-    return out.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    out = out.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    return out.distinct() if small else out  # large stars make no more edges than they find
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:

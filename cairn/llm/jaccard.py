@@ -17,7 +17,7 @@ from cairn.llm.shingles import WORDS, group_bounds, set_digest, shingle_hashes,
 SIMILARITY = 0.8
 TARGET_RECALL = 0.9999
 #: Samples kept of a set, levels of a path, and sets that a bucket may hold before it splits.
-SAMPLES, LEVELS, LIMIT = 96, 6, 1024
+SAMPLES, LEVELS, LIMIT = 96, 6, 2048
 #: Runs for all sets, enough for leaves of two levels; and of each later round, for those that went deeper.
 RUNS, MORE_RUNS, MAX_ROUNDS = 10, 20, 4
 #: Levels below the first that one job counts, in the first round and in later ones.
