@@ -157,27 +157,46 @@ def _deep_leaves(rows: DataFrame, levels: tuple[int, ...]) -> DataFrame:
     return counted.groupBy("sid", "run", "path").agg(F.min(leaf).alias("leaf"))
 
 
+def _joined(placed: DataFrame, samples: DataFrame) -> DataFrame:
+    """Links (a, b) that join the like sets of each bucket; ``placed`` is (sid, bucket)."""
+    with_samples = placed.join(samples.hint("merge"), "sid")
+    links = with_samples.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_links, "a binary, b binary").distinct()
+    return materialize(links, "jaccard-links")
+
+
 def _links_of(leaves: DataFrame, samples: DataFrame) -> list[DataFrame]:
     """Links (a, b) that join the like sets of each bucket; ``leaves`` is (sid, bucket, n).
 
-    What is large even at the last level is alike in all its samples so far: it is worked through in blocks, and its
-    least set is compared with all of it.
+    What is large even at the last level is alike in all its samples so far: all of it is compared with its least set,
+    which joins the sets like that one; the others are compared with all of the bucket, in pairs of blocks.
     """
     large = F.col("n") > F.lit(LARGEST)
-    block = F.pmod(F.xxhash64("sid"), F.ceil(F.col("n") / BLOCK))
-    placed = leaves.select("sid", F.when(large, F.xxhash64("bucket", block)).otherwise(F.col("bucket")).alias("bucket"))
-    with_samples = placed.join(samples.hint("merge"), "sid")
-    links = with_samples.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_links, "a binary, b binary").distinct()
-    parts = [materialize(links, "jaccard-links")]
+    parts = [_joined(leaves.where(~large).select("sid", "bucket"), samples)]
     heads = leaves.where(large).groupBy("bucket").agg(F.min("sid").alias("head"))
-    if not heads.isEmpty():
-        starred = leaves.where(large).join(heads, "bucket").select("sid", "head").distinct()
-        starred = starred.join(samples, "sid").join(samples.select(F.col("sid").alias("head"), F.col("samples").alias("own")), "head")
-        equal = sum((F.substring("samples", 4 * i + 1, 4) == F.substring("own", 4 * i + 1, 4)).cast("int") for i in range(SAMPLES))
-        parts.append(materialize(starred.where(equal >= math.ceil(SLACK * SAMPLES)).select(F.col("head").alias("a"), F.col("sid").alias("b")), "jaccard-links"))
+    if heads.isEmpty():
+        return parts
+    members = materialize(leaves.where(large).join(heads, "bucket").select("sid", "bucket", "head"), "jaccard-large")
+    starred = members.select("sid", "head").distinct()
+    starred = starred.join(samples, "sid").join(samples.select(F.col("sid").alias("head"), F.col("samples").alias("own")), "head")
+    equal = sum((F.substring("samples", 4 * i + 1, 4) == F.substring("own", 4 * i + 1, 4)).cast("int") for i in range(SAMPLES))
+    starred = materialize(starred.select("sid", "head", (equal >= math.ceil(SLACK * SAMPLES)).alias("like")), "jaccard-heads")
+    parts.append(starred.where("like").select(F.col("head").alias("a"), F.col("sid").alias("b")))
+    if not starred.where("not like").isEmpty():
+        parts.append(_joined(_block_pairs(members.join(starred, ["sid", "head"])), samples))
     return parts
 
 
+def _block_pairs(members: DataFrame) -> DataFrame:
+    """Buckets (sid, bucket) of at most two blocks in which every pair of a bucket's sets meets, but those ``like`` its head both."""
+    unlike = F.sum((~F.col("like")).cast("long"))
+    sizes = members.groupBy("bucket").agg(F.ceil(unlike / BLOCK).alias("others"), F.ceil((F.count(F.lit(1)) - unlike) / BLOCK).alias("likes")).where("others > 0")
+    # buckets differ by run, so that a set's block does too
+    block = F.when(F.col("like"), F.col("others") + F.expr("pmod(xxhash64(sid, bucket), likes)")).otherwise(F.expr("pmod(xxhash64(sid, bucket), others)"))
+    last = F.when(F.col("like"), F.col("others")).otherwise(F.col("others") + F.col("likes")) - 1
+    dealt = members.join(sizes, "bucket").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    return dealt.select("sid", F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")).alias("bucket"))
+
+
 def _similar(a: list[np.ndarray], b: list[np.ndarray] | None, similarity: float) -> np.ndarray:
     """Which sets of ``a`` and ``b`` (or of ``a`` among themselves) are similar: exact intersections by matrix products over shared tokens."""
     every = a + (b or [])

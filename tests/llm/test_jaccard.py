@@ -69,6 +69,24 @@ def test_small_buckets_split_deep_and_blocks_pair_up(spark, monkeypatch):
     assert result(spark, docs) == plain(docs)
 
 
+def test_every_pair_of_a_large_bucket_meets(spark, monkeypatch):
+    """Like sets of one bucket are joined whatever block they are in, also when they are unlike the least set."""
+    for name, value in (("BLOCK", 3), ("LARGEST", 12)):
+        monkeypatch.setattr(J, name, value)
+    rng = np.random.default_rng(5)
+    drawn = lambda: rng.integers(0, 1 << 31, J.SAMPLES).astype(np.int32)
+    head = drawn()
+    near, far = head.copy(), head.copy()
+    near[:25] = far[:25] = drawn()[:25]
+    far[25:50] = drawn()[25:50]
+    kinds = [head, near, far] + [kind for _ in range(20) for kind in [drawn()] * 2]
+    rows = [(bytearray([i]), bytearray(v.tobytes())) for i, v in enumerate(kinds)]
+    samples = spark.createDataFrame(rows, "sid binary, samples binary")
+    leaves = spark.createDataFrame([(sid, b, len(rows)) for sid, _ in rows for b in (7, 8)], "sid binary, bucket long, n long")
+    links = {(a[0], b[0]) for part in J._links_of(leaves, samples) for a, b in part.collect()}
+    assert {(min(x), max(x)) for x in links if x[0] != x[1]} == {(0, 1), (1, 2)} | {(i, i + 1) for i in range(3, len(rows), 2)}
+
+
 def test_exact_threshold(spark):
     # 9 shingles, 8 shared: 8 / 10 is linked; 8 shared of 9 and 10: 8 / 11 is not
     a = [f"w{i}" for i in range(13)]
