@@ -36,6 +36,8 @@ ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 #: Share of the page's largest fused score that a path needs, and of the selected text that a content element must hold.
 THRESHOLD, HELD = 0.2, 0.85
+#: Share of the page's selected text, or of its own text as selected, from which an ``article`` or ``main`` is text as a whole.
+MOST = 0.5
 
 
 class Page:
@@ -137,6 +139,22 @@ class Page:
             texts.append(references.unescape(source[last:]))
         flush()
 
+    def sums(self, of: np.ndarray, amounts: np.ndarray) -> np.ndarray:
+        """For every element the sum of ``amounts`` of the blocks in it; ``of`` tells their elements."""
+        out = np.zeros(len(self.parent))
+        np.add.at(out, of, amounts)
+        for i in range(len(out) - 1, 0, -1):
+            out[self.parent[i]] += out[i]
+        return out
+
+    def within(self, elements: list[int]) -> np.ndarray:
+        """Which elements are, or stand in, one of ``elements``."""
+        out = np.zeros(len(self.parent), bool)
+        out[elements] = True
+        for i in range(1, len(out)):
+            out[i] |= out[self.parent[i]]
+        return out
+
 
 def path_scores(paths: np.ndarray, lengths: np.ndarray, marks: np.ndarray) -> np.ndarray:
     """The fused score of every block: text length and punctuation a node of its tag path, smoothed along the page, multiplied."""
@@ -151,10 +169,11 @@ def extract(source: str | None) -> str:
     """The main text of a page, its blocks joined by an empty line; a null page counts as empty.
 
     Text length and punctuation are aggregated for each root-to-leaf tag path, smoothed along the page and fused; paths
-    above a share of the largest score select content nodes. The innermost element that holds nearly all selected text
-    is the article, an ``article`` or ``main`` element around it before others, and its blocks are the text: all but
-    those in elements for menus, headers, footers, sidebars, adverts, forms or comments, or made of links. Paths carry
-    classes, so boxes of the same element differ; inline elements don't part a path or a block.
+    above a share of the largest score select content nodes, on every page. What stands around them is text too: in an
+    ``article`` or ``main`` that holds most of the selected text, or is itself selected for the most part; where such
+    elements don't hold most of it, in the innermost element that holds nearly all. Left out are blocks in elements for
+    menus, headers, footers, sidebars, adverts, forms or comments, or made of links. Paths carry classes, so boxes of
+    the same element differ; inline elements don't part a path or a block.
     """
     page = Page(source or "")
     refused, hinted = page.refused, page.hinted
@@ -171,20 +190,16 @@ def extract(source: str | None) -> str:
         chosen = links <= 0.5 * lengths
     if not chosen.any():
         return ""
-    articles = [page.in_article[i] for i in of]
-    if any(np.array(articles) & (links <= 0.5 * lengths)):
-        inside = np.array(articles)
+    held, whole = page.sums(of, lengths * chosen), page.sums(of, lengths)
+    articles = [i for i, tag in enumerate(page.tag) if tag in ("article", "main") and held[i] and held[i] >= MOST * min(held[0], whole[i])]
+    inside = page.within(articles)[of]
+    if lengths[chosen & inside].sum() >= MOST * held[0]:
+        inside |= chosen
     else:
-        held = np.zeros(len(page.parent))
-        np.add.at(held, of[chosen], lengths[chosen])
-        for i in range(len(held) - 1, 0, -1):
-            held[page.parent[i]] += held[i]
         inner = max(i for i in range(len(held)) if held[i] >= HELD * held[0])
-        within = np.zeros(len(held), bool)
-        within[inner] = True
-        for i in range(inner + 1, len(held)):
-            within[i] = within[page.parent[i]]
-        inside = within[of] if page.tag[inner] not in ("p", "pre", "blockquote") else within[of] | chosen
+        inside |= page.within([inner])[of]
+        if page.tag[inner] in ("p", "pre", "blockquote"):
+            inside |= chosen
     # a path of which most text is links is a menu, wherever it stands
     path = np.array(page.path)[of]
     menu = (np.bincount(path, links) > 0.5 * np.bincount(path, lengths))[path]

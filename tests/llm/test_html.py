@@ -26,6 +26,14 @@ def test_pages(page, text):
     assert extract(page) == text
 
 
+def test_path_scores_select_beside_articles():
+    """A story in divs is the text though cards beside it are articles; of articles, paths choose too."""
+    story = "".join(f"<div class=par>{LONG} {LONG} {i}</div>" for i in range(6))
+    cards = "".join(f"<article><h3>Card {i}</h3><div>Short.</div></article>" for i in range(3))
+    assert extract(f"<body><div class=story>{story}</div><div class=more>{cards}</div>") == "\n\n".join(f"{LONG} {LONG} {i}" for i in range(6))
+    assert extract(f"<body><article><p>{LONG}</p><p>Short.</p></article><div class=rest><p>{LONG} {LONG}</p></div>") == f"{LONG}\n\nShort.\n\n{LONG} {LONG}"
+
+
 def test_long_and_deep_pages():
     assert extract("<article>" + f"<p>{LONG}</p>" * 20000 + "</article>").count("\n\n") == 19999
     assert extract("<div>" * 20000 + LONG) == LONG
