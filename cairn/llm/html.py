@@ -171,9 +171,9 @@ def extract(source: str | None) -> str:
     Text length and punctuation are aggregated for each root-to-leaf tag path, smoothed along the page and fused; paths
     above a share of the largest score select content nodes, on every page. What stands around them is text too: in an
     ``article`` or ``main`` that holds most of the selected text, or is itself selected for the most part; where such
-    elements don't hold most of it, in the innermost element that holds nearly all. Left out are blocks in elements for
-    menus, headers, footers, sidebars, adverts, forms or comments, or made of links. Paths carry classes, so boxes of
-    the same element differ; inline elements don't part a path or a block.
+    elements don't hold most of it, in the innermost element that holds nearly all. Selected blocks outside these stay. Left
+    out are blocks in elements for menus, headers, footers, sidebars, adverts, forms or comments, or made of links.
+    Paths carry classes, so boxes of the same element differ; inline elements don't part a path or a block.
     """
     page = Page(source or "")
     refused, hinted = page.refused, page.hinted
@@ -193,13 +193,9 @@ def extract(source: str | None) -> str:
     held, whole = page.sums(of, lengths * chosen), page.sums(of, lengths)
     articles = [i for i, tag in enumerate(page.tag) if tag in ("article", "main") and held[i] and held[i] >= MOST * min(held[0], whole[i])]
     inside = page.within(articles)[of]
-    if lengths[chosen & inside].sum() >= MOST * held[0]:
-        inside |= chosen
-    else:
-        inner = max(i for i in range(len(held)) if held[i] >= HELD * held[0])
-        inside |= page.within([inner])[of]
-        if page.tag[inner] in ("p", "pre", "blockquote"):
-            inside |= chosen
+    if lengths[chosen & inside].sum() < MOST * held[0]:
+        inside |= page.within([max(i for i in range(len(held)) if held[i] >= HELD * held[0])])[of]
+    inside |= chosen
     # a path of which most text is links is a menu, wherever it stands
     path = np.array(page.path)[of]
     menu = (np.bincount(path, links) > 0.5 * np.bincount(path, lengths))[path]

@@ -34,6 +34,12 @@ def test_path_scores_select_beside_articles():
     assert extract(f"<body><article><p>{LONG}</p><p>Short.</p></article><div class=rest><p>{LONG} {LONG}</p></div>") == f"{LONG}\n\nShort.\n\n{LONG} {LONG}"
 
 
+def test_selected_blocks_stay_wherever_they_stand():
+    paragraphs = [f"{LONG} {i}" for i in range(22)]
+    parts = [f"<section>{''.join(f'<p>{p}</p>' for p in part)}</section>" for part in (paragraphs[:1], paragraphs[1:21], paragraphs[21:])]
+    assert extract(f"<div id=content>{''.join(parts)}</div>") == "\n\n".join(paragraphs)
+
+
 def test_long_and_deep_pages():
     assert extract("<article>" + f"<p>{LONG}</p>" * 20000 + "</article>").count("\n\n") == 19999
     assert extract("<div>" * 20000 + LONG) == LONG
