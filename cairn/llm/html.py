@@ -44,14 +44,14 @@ class Page:
     """The blocks of text of a page with the element and the tag path each stands in."""
 
     def __init__(self, source: str):
-        self.parent, self.tag, self.path, self.refused, self.hinted = [-1], ["#root"], [0], [False], [False]
+        self.parent, self.tag, self.path, self.refused, self.hint = [-1], ["#root"], [0], [False], [False]
         self.in_article = [False]
         self.paths: dict[tuple, int] = {}
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters in links
         self._read(source)
 
     def _open(self, at: int, tag: str, attrs: str) -> int:
-        kind, refused, hinted = tag, self.refused[at] or tag in REFUSED, self.hinted[at]
+        kind, refused, hint = tag, self.refused[at] or tag in REFUSED, False
         if tag == "header" and not self.in_article[at]:
             refused = True
         if attrs:
@@ -63,13 +63,13 @@ class Page:
                 elif name == "role":
                     refused |= not ROLES.isdisjoint(words)
                 elif tag not in ("html", "body", "article", "main"):
-                    hinted |= not HINTS.isdisjoint(words)
+                    hint |= not HINTS.isdisjoint(words)
                     kind += "." + value
         self.parent.append(at)
         self.tag.append(tag)
         self.path.append(self.paths.setdefault((self.path[at], kind), len(self.paths) + 1))
         self.refused.append(refused)
-        self.hinted.append(hinted)
+        self.hint.append(hint)
         self.in_article.append(self.in_article[at] or tag in ("article", "main"))
         return len(self.parent) - 1
 
@@ -165,6 +165,40 @@ def path_scores(paths: np.ndarray, lengths: np.ndarray, marks: np.ndarray) -> np
     return smooth[0] * (1 + smooth[1])
 
 
+def selected(page: Page, blocks: list[tuple[int, str, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The elements, lengths and characters in links of ``blocks``, and which of them the path scores select."""
+    of = np.array([b[0] for b in blocks])
+    lengths = np.array([len(b[1]) for b in blocks], float)
+    links = np.array([b[2] for b in blocks], float)
+    marks = np.array([len(PUNCTUATION.findall(b[1])) for b in blocks], float)
+    scores = path_scores(np.array(page.path)[of], lengths - links, marks)
+    plain = links <= 0.5 * lengths
+    chosen = (scores >= THRESHOLD * scores.max()) & plain
+    return of, lengths, links, chosen if chosen.any() else plain
+
+
+def hinted_elements(page: Page, blocks: list[tuple[int, str, int]]) -> np.ndarray:
+    """Which elements stand in one that a hint marks; a hint is void on an element around most of the page's text.
+
+    That is one with an ``h1`` or ``main`` too; or with an ``article`` or nearly all text, if no article or ``h1``
+    with more text than headings stands outside all hints: then the hint marks what comes with that, as a long thread of
+    comments. Text is that of blocks that aren't mostly links.
+    """
+    of, links = np.array([b[0] for b in blocks]), np.array([b[2] for b in blocks], float)
+    lengths = np.array([len(b[1]) for b in blocks], float)
+    lengths[links > 0.5 * lengths] = 0
+    held = page.sums(of, lengths)
+    hint, tags, refused = np.array(page.hint), np.array(page.tag), np.array(page.refused)
+    free = ~page.within(np.flatnonzero(hint))
+    leading = page.sums(np.flatnonzero(np.isin(tags, ("h1", "main")) & ~refused), 1) > 0
+    articles = page.sums(np.flatnonzero((tags == "article") & ~refused), 1) > 0
+    own = page.sums(of, lengths * free[of])
+    heads = own[free & (tags == "h1")].sum()
+    beside = own[free & np.isin(tags, ("h1", "article"))].any() and own[0] > 2 * heads
+    void = (held > MOST * held[0]) & (leading | (articles | (held >= HELD * held[0])) & (not beside))
+    return page.within(np.flatnonzero(hint & ~void))
+
+
 def extract(source: str | None) -> str:
     """The main text of a page, its blocks joined by an empty line; a null page counts as empty.
 
@@ -172,22 +206,20 @@ def extract(source: str | None) -> str:
     above a share of the largest score select content nodes, on every page. What stands around them is text too: in an
     ``article`` or ``main`` that holds most of the selected text, or is itself selected for the most part; where such
     elements don't hold most of it, in the innermost element that holds nearly all. Selected blocks outside these stay. Left
-    out are blocks in elements for menus, headers, footers, sidebars, adverts, forms or comments, or made of links.
+    out are blocks in elements for menus, headers, footers, sidebars, adverts, forms or comments, or made of links;
+    a class or id that hints at these is passed over on an element around most of the page's text.
     Paths carry classes, so boxes of the same element differ; inline elements don't part a path or a block.
     """
     page = Page(source or "")
-    refused, hinted = page.refused, page.hinted
-    blocks = [b for b in page.blocks if not refused[b[0]] and not hinted[b[0]]]
+    blocks = [b for b in page.blocks if not page.refused[b[0]]]
     if not blocks:
         return ""
-    of = np.array([b[0] for b in blocks])
-    lengths = np.array([len(b[1]) for b in blocks], float)
-    links = np.array([b[2] for b in blocks], float)
-    marks = np.array([len(PUNCTUATION.findall(b[1])) for b in blocks], float)
-    scores = path_scores(np.array(page.path)[of], lengths - links, marks)
-    chosen = (scores >= THRESHOLD * scores.max()) & (links <= 0.5 * lengths)
-    if not chosen.any():
-        chosen = links <= 0.5 * lengths
+    if any(page.hint):
+        hinted = hinted_elements(page, blocks)
+        blocks = [b for b in blocks if not hinted[b[0]]]
+        if not blocks:
+            return ""
+    of, lengths, links, chosen = selected(page, blocks)
     if not chosen.any():
         return ""
     held, whole = page.sums(of, lengths * chosen), page.sums(of, lengths)

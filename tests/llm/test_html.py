@@ -40,6 +40,19 @@ def test_selected_blocks_stay_wherever_they_stand():
     assert extract(f"<div id=content>{''.join(parts)}</div>") == "\n\n".join(paragraphs)
 
 
+@pytest.mark.parametrize("name", ["content has-sidebar", "layout with-sidebar", "post no-ads", "page-with-footer"])
+def test_hints_on_wrappers_are_void(name):
+    story, side = f"<h1>Head</h1><p>{LONG}</p><p>{LONG} {LONG}</p>", f"<div class=sidebar><p>{LONG}</p></div>"
+    text = f"Head\n\n{LONG}\n\n{LONG} {LONG}"
+    assert extract(f"<div id=top>Site</div><div class='{name}'>{story}{side}</div>") == text
+    assert extract(f"<div class='{name}'><article>{story}</article>{side}</div>") == text
+    assert extract(f"<div class='{name}'><p>{LONG}</p><p>{LONG}</p></div>") == f"{LONG}\n\n{LONG}"
+    thread = f"<p>{LONG}</p>" * 30
+    assert extract(f"<article>{story}</article><div class=comment-list>{thread}</div>") == text
+    assert extract(f"<article>{story}<div class=comments>{thread}</div></article>") == text
+    assert extract(f"<article><h1>Head</h1><div class='{name}'><p>{LONG}</p></div></article>") == f"Head\n\n{LONG}"
+
+
 def test_long_and_deep_pages():
     assert extract("<article>" + f"<p>{LONG}</p>" * 20000 + "</article>").count("\n\n") == 19999
     assert extract("<div>" * 20000 + LONG) == LONG
