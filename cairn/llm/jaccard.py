@@ -47,7 +47,7 @@ def _set_batches(words: int):
                 ids.append(set_digest(tokens) if len(tokens) else None)
                 sizes.append(len(tokens))
                 samples.append(sampled_tokens(tokens).tobytes() if len(tokens) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(sizes, pa.int64()), pa.array(samples, pa.binary())], names=["doc_id", "sid", "n_shingles", "samples"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ids, pa.binary()), pa.array(sizes, pa.int64()), pa.array(samples, pa.binary())], names=["doc_id", "row", "sid", "n_shingles", "samples"])
 
     return run
 
@@ -268,7 +268,7 @@ def _tokens_batches(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens = [shingle_hashes(t.as_py(), words) for t in batch.column(4)]
-            # an id that repeats with other texts brings those along: they are not the set's
+            # a row of another text but an equal hash comes along: it is not the set's
             own = pa.array([set_digest(t) == sid for t, sid in zip(tokens, batch.column(0).to_pylist(), strict=True)], pa.bool_())
             table = pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([t.view(np.int64) for t in tokens], pa.list_(pa.int64()))], names=["sid", "weight", "group", "size", "tokens"])
             yield table.filter(own)
@@ -290,10 +290,11 @@ def jaccard_groups(docs: DataFrame, similarity: float = SIMILARITY, words: int =
     empty table gives an empty result, other columns are not read.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = materialize(docs.select("doc_id", "text").mapInArrow(_set_batches(words), f"doc_id {kind}, sid binary, n_shingles bigint, samples binary"), "jaccard-docs")
+    row = F.xxhash64("doc_id", "text").alias("row")
+    rows = materialize(docs.select("doc_id", "text", row).mapInArrow(_set_batches(words), f"doc_id {kind}, row bigint, sid binary, n_shingles bigint, samples binary"), "jaccard-docs")
     plain = rows.select("doc_id", "sid", "n_shingles")
-    known = plain.where("sid is not null")
-    sets = known.groupBy("sid").agg(F.count(F.lit(1)).alias("weight"), F.min("doc_id").alias("set_id"))
+    known = rows.where("sid is not null")
+    sets = known.groupBy("sid").agg(F.count(F.lit(1)).alias("weight"), F.min("doc_id").alias("set_id"), F.min("row").alias("row"))
     # one row of each set has its samples: the least id's; equal rows are equal sets, so any of them serves
     samples = rows.where("sid is not null").select("sid", "samples").groupBy("sid").agg(F.first("samples").alias("samples"))
     samples = materialize(samples, "jaccard-sets")
@@ -303,8 +304,7 @@ def jaccard_groups(docs: DataFrame, similarity: float = SIMILARITY, words: int =
     wanted = groups.join(sizes, "group").join(sets, "sid")
     wanted = materialize(wanted, "jaccard-wanted")
     # texts are read again for the sets in groups alone; their copies stay behind
-    few = wanted.where("set_id is not null")
-    texts = docs.select(F.col("doc_id").alias("set_id"), "text").join(few.hint("shuffle_hash"), "set_id")
+    texts = docs.select(row, "text").join(wanted.hint("shuffle_hash"), "row")
     tokens = texts.select("sid", "weight", "group", "size", "text").mapInArrow(_tokens_batches(words), "sid binary, weight bigint, group binary, size bigint, tokens array<bigint>")
     blocks = F.ceil(F.col("size") / BLOCK)
     own = F.pmod(F.xxhash64("sid"), blocks)

@@ -112,6 +112,14 @@ def test_ids_and_rows_that_repeat(spark):
     assert {r["class_id"] for r in rows if r["n_links"]} == {5}
 
 
+def test_rows_without_ids_are_verified(spark):
+    """Near copies of null ids link with each other, and with documents of an id."""
+    a, b = [f"w{i}" for i in range(60)], [f"v{i}" for i in range(60)]
+    texts = [(None, a), (None, [*a[:59], "z"]), (None, b), (4, [*b[:59], "y"])]
+    rows = J.jaccard_groups(spark.createDataFrame([(i, " ".join(t)) for i, t in texts], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["class_id"] or 0, r["n_links"]) for r in rows) == [(0, 0, 1), (0, 0, 1), (0, 4, 1), (4, 4, 1)]
+
+
 def test_shingle_hashes():
     assert len(shingle_hashes(None)) == len(shingle_hashes(" \n")) == 0 and len(shingle_hashes("a b")) == 1
     assert np.array_equal(shingle_hashes("a b  c\td e f"), shingle_hashes("a b c d e f")) and len(shingle_hashes("a b c d e f")) == 2
