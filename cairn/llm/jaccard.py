@@ -12,20 +12,18 @@ from pyspark.sql import functions as F
 
 from cairn.llm.common import materialize, read_table
 from cairn.llm.components import connected_components
-from cairn.llm.shingles import WORDS, group_bounds, set_digest, shingle_hashes, whole_groups
+from cairn.llm.shingles import WORDS, group_bounds, set_digest, shingle_lanes, whole_groups
 
 SIMILARITY = 0.8
 TARGET_RECALL = 0.9999
 #: Samples kept of a set, levels of a path, and sets that a bucket may hold before it splits.
 SAMPLES, LEVELS, LIMIT = 96, 6, 2048
-#: Runs for all sets, enough for leaves of two levels; and of each later round, for those that went deeper.
-RUNS, MORE_RUNS, MAX_ROUNDS = 10, 20, 4
-#: Levels below the first that one job counts, in the first round and in later ones.
-LEVELS_AT_ONCE = ((2, 3), (4, 5, 6)), ((1, 2, 3), (4, 5, 6))
+#: One node in so many samples two tokens, the others one: a pair of the similarity stays together on 1 of 1.25 on average.
+BRANCH = 4
+#: Runs for all sets, enough for leaves of three levels; and of each later round, for those whose leaves lie deeper.
+RUNS, MORE_RUNS = 10, 8
 #: Sets of a block: a larger bucket of the last level, or group to verify, is worked through in pairs of blocks.
 BLOCK, LARGEST = 512, 2048
-#: Share of equal samples from which a pair is verified: 4.4 standard deviations under the similarity.
-SLACK = 0.62
 COLUMNS = 8192
 _MULTIPLIERS = np.random.default_rng(97).integers(1, 1 << 63, SAMPLES, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -43,10 +41,10 @@ def _set_batches(words: int):
         for batch in batches:
             ids, sizes, samples = [], [], []
             for text in batch.column(1):
-                tokens = shingle_hashes(text.as_py(), words)
-                ids.append(set_digest(tokens) if len(tokens) else None)
-                sizes.append(len(tokens))
-                samples.append(sampled_tokens(tokens).tobytes() if len(tokens) else None)
+                lanes = shingle_lanes(text.as_py(), words)
+                ids.append(set_digest(lanes) if len(lanes) else None)
+                sizes.append(len(lanes))
+                samples.append(sampled_tokens(lanes[:, 0]).tobytes() if len(lanes) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ids, pa.binary()), pa.array(sizes, pa.int64()), pa.array(samples, pa.binary())], names=["doc_id", "row", "sid", "n_shingles", "samples"])
 
     return run
@@ -70,8 +68,24 @@ def forest(near, count: int) -> list[tuple[int, int]]:
     return edges
 
 
-def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    need = math.ceil(SLACK * SAMPLES)
+def needed_samples(similarity: float, missed: float) -> int:
+    """The most equal samples that may be asked for, so that a pair of the similarity has fewer with probability ``missed`` at most."""
+    below = 0.0
+    for k in range(SAMPLES + 1):
+        below += math.comb(SAMPLES, k) * similarity**k * (1 - similarity) ** (SAMPLES - k)
+        if below > missed:
+            return k
+    return SAMPLES
+
+
+def _bucket_links(need: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _links_in_buckets(batches, need)
+
+    return run
+
+
+def _links_in_buckets(batches: Iterator[pa.RecordBatch], need: int) -> Iterator[pa.RecordBatch]:
     for table in whole_groups(batches, "bucket"):
         bounds = group_bounds(table["bucket"])
         sids = table["sid"].to_pylist()
@@ -89,49 +103,77 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
 
-def _sample(run: int, level: int) -> int:
-    """The sampling function of a run's level: no function twice in a path, none twice in the first SAMPLES // LEVELS runs."""
-    turn = run * LEVELS + level
-    return (turn + 7 * (turn // SAMPLES)) % SAMPLES
+def root_positions(run: int) -> list[int]:
+    """The sampling functions of a run's root, none of which another run has before all have had their turn."""
+    first = run + -(-run // BRANCH)
+    return [(first + i) % SAMPLES for i in range(1 + (run % BRANCH == 0))]
+
+
+def missed_logs(similarity: float) -> list[list[float]]:
+    """For roots of one and of two tokens, and leaves of each level: log of the probability that a run keeps a pair apart.
+
+    A pair of the similarity shares a sampled token with that probability, and goes on together below it. With q for a
+    node's subtree, f = 1 - similarity * (1 - q) keeps it apart below one token, and a node has one or two.
+    """
+    out, q = [[], []], 0.0
+    for _ in range(LEVELS):
+        f = 1 - similarity * (1 - q)
+        out[0].append(math.log(f))
+        out[1].append(2 * math.log(f))
+        q = (1 - 1 / BRANCH) * f + f * f / BRANCH
+    return out
+
+
+def _children() -> str:
+    """SQL for the child nodes of ``path`` that a set of ``samples`` goes on to: which functions a node samples is a hash of its path."""
+    first = f"pmod(xxhash64(path, 1), {SAMPLES})"
+    second = f"pmod({first} + 1 + pmod(xxhash64(path, 3), {SAMPLES - 1}), {SAMPLES})"
+    child = lambda at: f"xxhash64(path, {at}, substring(samples, cast(4 * {at} + 1 as int), 4))"
+    return f"if(pmod(xxhash64(path, 2), {BRANCH}) = 0, array({child(first)}, {child(second)}), array({child(first)}))"
 
 
 def candidate_links(sets: DataFrame, similarity: float = SIMILARITY, recall: float = TARGET_RECALL) -> DataFrame:
     """Links (a, b) that join all sets of at least the similarity into groups, with at least the recall; ``sets`` is (sid, samples).
 
-    A run is a tree: at each node every set samples one token, the same way for all sets of the node, and sets of the
-    same token go on together. Nodes of at most LIMIT sets are compared by brute force on their samples. A pair meets
-    at a leaf of depth d with probability similarity ** d at least; runs repeat for the sets whose leaves, so far, leave
-    more than 1 - recall for a partner to be missed.
+    A run is a tree: a node samples one token of every set, or two, by functions that its path chooses, and a set goes on
+    to a child for each. Nodes of at most LIMIT sets are compared by brute force on their samples; nodes of the last
+    level are too, however many sets they have. How likely a partner is missed follows from the depth of a set's leaves;
+    runs repeat, as often as it takes, for the sets whose leaves so far leave more than the recall allows. A quarter of
+    what may be missed is left to the comparison of samples.
     """
+    logs, allowed = missed_logs(similarity), 1 - recall
+    need = needed_samples(similarity, allowed / 4)
     parts, waiting, total_runs, excess = [], sets.select("sid", "samples"), 0, None
-    for turn in range(MAX_ROUNDS):
-        runs = range(total_runs, total_runs + (MORE_RUNS if turn else RUNS))
+    while True:
+        runs = range(total_runs, total_runs + (MORE_RUNS if total_runs else RUNS))
         total_runs = runs.stop
-        value = lambda i: F.substring("samples", 4 * i + 1, 4)
-        paths = F.array(*(F.struct(F.lit(r).alias("run"), F.concat(*(value(_sample(r, k)) for k in range(LEVELS))).alias("path")) for r in runs))
-        open_rows = waiting.select("sid", F.explode(paths).alias("p")).select("sid", "p.run", "p.path")
+        roots = [F.struct(F.lit(r).alias("run"), F.xxhash64(F.lit(r), F.lit(p), F.substring("samples", 4 * p + 1, 4)).alias("bucket")) for r in runs for p in root_positions(r)]
+        found = waiting.select("sid", F.explode(F.array(*roots)).alias("r")).select("sid", "r.*")
         leaves, deep = [], []
-        if not turn:
-            # most sets are alone, or among few, after one level: the others go on
-            keyed = open_rows.withColumn("bucket", F.xxhash64("run", F.substring("path", 1, 4)))
-            counts = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-            met = materialize(keyed.join(counts.hint("merge"), "bucket"), "jaccard-level")
-            leaves.append(met.where(F.col("n") <= LIMIT).select("sid", "bucket", "n"))
-            open_rows = met.where(F.col("n") > LIMIT).select("sid", "run", "path")
-        for levels in LEVELS_AT_ONCE[turn > 0]:
-            if open_rows.isEmpty():
+        for level in range(1, LEVELS + 1):
+            counts = found.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+            # most sets are alone, or among few, after one level
+            met = materialize(found.join((counts.where("n > 1") if level == 1 else counts).hint("merge"), "bucket"), "jaccard-level")
+            split = (F.col("n") > LIMIT) & F.lit(level < LEVELS)
+            leaves.append(met.where(~split & (F.col("n") > 1)).select("sid", "bucket", "n"))
+            if level > 1:
+                deep.append(met.select("sid", "run", F.lit(level).alias("level")))
+            below = met.where(split).select("sid", "run", F.col("bucket").alias("path"))
+            if below.isEmpty():
                 break
-            found = materialize(_deep_leaves(open_rows, levels), "jaccard-leaves")
-            deep.append(found.where("leaf is not null").select("sid", "leaf.*"))
-            leaves.append(deep[-1].where("n > 1").select("sid", "bucket", "n"))
-            open_rows = found.where("leaf is null").select("sid", "run", "path")
-        parts += _links_of(_all(leaves), waiting)
+            # written, since it is counted before it is joined
+            found = materialize(below.join(waiting.hint("merge"), "sid").select("sid", "run", F.explode(F.expr(_children())).alias("bucket")), "jaccard-nodes")
+        parts += _links_of(_all(leaves), waiting, need)
         if not deep:
             break
-        # a run that ends at a deeper level misses a partner with probability 1 - similarity ** level
-        more = _all(deep).select("sid", (F.log(1 - F.pow(F.lit(similarity), F.col("level").cast("double"))) - F.lit(math.log(1 - similarity))).alias("excess"))
+        # a run counts by its deepest leaf
+        log = F.array(*(F.array(*map(F.lit, row)) for row in logs))
+        tokens = F.when(F.col("run") % BRANCH == 0, 2).otherwise(1)
+        deepest = _all(deep).groupBy("sid", "run").agg(F.max("level").alias("level"))
+        more = deepest.select("sid", (log[tokens - 1][F.col("level") - 1] - log[tokens - 1][0]).alias("excess"))
         excess = materialize((more if excess is None else more.union(excess)).groupBy("sid").agg(F.sum("excess").alias("excess")), "jaccard-recall")
-        lacking = excess.where(total_runs * math.log(1 - similarity) + F.col("excess") > math.log(1 - recall)).select("sid")
+        sure = sum(logs[r % BRANCH == 0][0] for r in range(total_runs))
+        lacking = excess.where(sure + F.col("excess") > math.log(0.75 * allowed)).select("sid")
         if lacking.isEmpty():
             break
         waiting = materialize(waiting.join(lacking.hint("shuffle_hash"), "sid", "left_semi"), "jaccard-waiting")
@@ -145,33 +187,21 @@ def _all(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _deep_leaves(rows: DataFrame, levels: tuple[int, ...]) -> DataFrame:
-    """``rows`` with ``leaf`` (level, bucket, n): the first of ``levels`` whose bucket has at most LIMIT sets, or the last of all.
-
-    The levels are counted at once. A leaf of one set is told too: its run has gone that deep for nothing. No leaf is null.
-    """
-    bucket = F.expr("xxhash64(run, level, substring(path, 1, 4 * level))")
-    keyed = rows.withColumn("level", F.explode(F.array(*map(F.lit, levels)))).withColumn("bucket", bucket)
-    counted = keyed.join(keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).hint("merge"), "bucket")
-    leaf = F.when((F.col("n") <= LIMIT) | (F.col("level") == LEVELS), F.struct("level", "bucket", "n"))
-    return counted.groupBy("sid", "run", "path").agg(F.min(leaf).alias("leaf"))
-
-
-def _joined(placed: DataFrame, samples: DataFrame) -> DataFrame:
-    """Links (a, b) that join the like sets of each bucket; ``placed`` is (sid, bucket)."""
+def _joined(placed: DataFrame, samples: DataFrame, need: int) -> DataFrame:
+    """Links (a, b) that join the like sets of each bucket; ``placed`` is (sid, bucket), of LARGEST sets a bucket at most."""
     with_samples = placed.join(samples.hint("merge"), "sid")
-    links = with_samples.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_links, "a binary, b binary").distinct()
+    links = with_samples.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_links(need), "a binary, b binary").distinct()
     return materialize(links, "jaccard-links")
 
 
-def _links_of(leaves: DataFrame, samples: DataFrame) -> list[DataFrame]:
+def _links_of(leaves: DataFrame, samples: DataFrame, need: int) -> list[DataFrame]:
     """Links (a, b) that join the like sets of each bucket; ``leaves`` is (sid, bucket, n).
 
     What is large even at the last level is alike in all its samples so far: all of it is compared with its least set,
     which joins the sets like that one; the others are compared with all of the bucket, in pairs of blocks.
     """
     large = F.col("n") > F.lit(LARGEST)
-    parts = [_joined(leaves.where(~large).select("sid", "bucket"), samples)]
+    parts = [_joined(leaves.where(~large).select("sid", "bucket"), samples, need)]
     heads = leaves.where(large).groupBy("bucket").agg(F.min("sid").alias("head"))
     if heads.isEmpty():
         return parts
@@ -179,10 +209,10 @@ def _links_of(leaves: DataFrame, samples: DataFrame) -> list[DataFrame]:
     starred = members.select("sid", "head").distinct()
     starred = starred.join(samples, "sid").join(samples.select(F.col("sid").alias("head"), F.col("samples").alias("own")), "head")
     equal = sum((F.substring("samples", 4 * i + 1, 4) == F.substring("own", 4 * i + 1, 4)).cast("int") for i in range(SAMPLES))
-    starred = materialize(starred.select("sid", "head", (equal >= math.ceil(SLACK * SAMPLES)).alias("like")), "jaccard-heads")
+    starred = materialize(starred.select("sid", "head", (equal >= need).alias("like")), "jaccard-heads")
     parts.append(starred.where("like").select(F.col("head").alias("a"), F.col("sid").alias("b")))
     if not starred.where("not like").isEmpty():
-        parts.append(_joined(_block_pairs(members.join(starred, ["sid", "head"])), samples))
+        parts.append(_joined(_block_pairs(members.join(starred, ["sid", "head"])), samples, need))
     return parts
 
 
@@ -267,10 +297,10 @@ def _verify(similarity: float):
 def _tokens_batches(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens = [shingle_hashes(t.as_py(), words) for t in batch.column(4)]
+            lanes = [shingle_lanes(t.as_py(), words) for t in batch.column(4)]
             # a row of another text but an equal hash comes along: it is not the set's
-            own = pa.array([set_digest(t) == sid for t, sid in zip(tokens, batch.column(0).to_pylist(), strict=True)], pa.bool_())
-            table = pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([t.view(np.int64) for t in tokens], pa.list_(pa.int64()))], names=["sid", "weight", "group", "size", "tokens"])
+            own = pa.array([set_digest(x) == sid for x, sid in zip(lanes, batch.column(0).to_pylist(), strict=True)], pa.bool_())
+            table = pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([x[:, 0].astype(np.int64) for x in lanes], pa.list_(pa.int64()))], names=["sid", "weight", "group", "size", "tokens"])
             yield table.filter(own)
 
     return run

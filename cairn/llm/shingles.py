@@ -1,4 +1,4 @@
-"""Word shingles of texts as 64-bit hashes, and streams of rows that come in groups."""
+"""Word shingles of texts as hashes, and streams of rows that come in groups."""
 
 from __future__ import annotations
 
@@ -8,15 +8,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 WORDS = 5
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 1 << 63, 256, np.uint64)
-_PLACE = _rng.integers(1, 1 << 63, 64, np.uint64) | np.uint64(1)
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_PLACE = _rng.integers(1, 1 << 63, (64, 2), np.uint64) | np.uint64(1)
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
@@ -37,31 +36,37 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(raw: bytes) -> np.ndarray:
-    """A hash of every word, the runs between ASCII white space."""
-    a = np.frombuffer(raw, np.uint8)
-    space = np.concatenate([[True], _SPACE[a], [True]])
-    edges = np.flatnonzero(space[1:] != space[:-1])
-    starts, ends = edges[::2], edges[1::2]
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[a] * _power("up", _BASE, len(a)))])
-    return mix((sums[ends] - sums[starts]) * _power("down", _INVERSE, len(a))[starts] + (ends - starts).astype(np.uint64))
+    """128 bits of hash of every word, the runs between ASCII white space, in two columns."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, raw.split())), np.uint64).reshape(-1, 2)
 
 
-def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
-    """The distinct shingles of a text, sorted. A text of fewer words has one shingle, of all its words; one without words none."""
+def shingle_lanes(text: str | None, words: int = WORDS) -> np.ndarray:
+    """The distinct shingles of a text, 128 bits each in two columns, sorted by the first.
+
+    A text of fewer words has one shingle, of all its words; one without words none.
+    """
     h = word_hashes((text or "").encode("utf-8", "replace"))
+    if not len(h):
+        return h
+    if len(h) < words:
+        return mix((h * _PLACE[: len(h)]).sum(0, keepdims=True) + np.uint64(len(h)))
     n = len(h) - words + 1
-    if n < 1:
-        return h if not len(h) else mix((h * _PLACE[: len(h)]).sum(keepdims=True) + np.uint64(len(h)))
     out = h[:n] * _PLACE[0]
     for k in range(1, words):
         out = out + h[k : k + n] * _PLACE[k]
-    return np.unique(mix(out))
+    out = mix(out)
+    out = out[np.argsort(out[:, 0], kind="stable")]
+    return out[np.concatenate([[True], (out[1:] != out[:-1]).any(1)])]
+
+
+def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
+    """The distinct shingles of a text by 64 bits, sorted."""
+    return np.ascontiguousarray(shingle_lanes(text, words)[:, 0])
 
 
-def set_digest(tokens: np.ndarray) -> bytes:
-    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+def set_digest(lanes: np.ndarray) -> bytes:
+    """The name of a set of shingles, by all bits of :func:`shingle_lanes`."""
+    return hashlib.blake2b(lanes.tobytes(), digest_size=16).digest()
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:

@@ -83,7 +83,7 @@ def test_every_pair_of_a_large_bucket_meets(spark, monkeypatch):
     rows = [(bytearray([i]), bytearray(v.tobytes())) for i, v in enumerate(kinds)]
     samples = spark.createDataFrame(rows, "sid binary, samples binary")
     leaves = spark.createDataFrame([(sid, b, len(rows)) for sid, _ in rows for b in (7, 8)], "sid binary, bucket long, n long")
-    links = {(a[0], b[0]) for part in J._links_of(leaves, samples) for a, b in part.collect()}
+    links = {(a[0], b[0]) for part in J._links_of(leaves, samples, J.needed_samples(0.8, 2.5e-5)) for a, b in part.collect()}
     assert {(min(x), max(x)) for x in links if x[0] != x[1]} == {(0, 1), (1, 2)} | {(i, i + 1) for i in range(3, len(rows), 2)}
 
 
@@ -128,6 +128,43 @@ def test_shingle_hashes():
     assert len(shingle_hashes(text)) == len(shingles(text))
 
 
+def test_words_of_a_fixed_polynomial_hash_differ(spark):
+    """Thue and Morse's word and its complement collide under any polynomial modulo 2 ** 64."""
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    assert result(spark, [(1, word), (2, other)]) == {1: (1, 0), 2: (2, 0)}
+
+
+def test_probabilities_of_a_miss():
+    """The logs of :func:`missed_logs` against trees that are grown at random."""
+    rng = random.Random(8)
+
+    def apart(tokens, level):
+        return all(rng.random() >= 0.8 or level and apart(1 + (rng.random() < 1 / J.BRANCH), level - 1) for _ in range(tokens))
+
+    for tokens in (1, 2):
+        for level in (1, 3, 6):
+            seen = sum(apart(tokens, level - 1) for _ in range(20000)) / 20000
+            assert abs(seen - np.exp(J.missed_logs(0.8)[tokens - 1][level - 1])) < 0.02
+    assert 58 <= J.needed_samples(0.8, 2.5e-5) <= 60
+
+
+def test_runs_repeat_until_the_recall(spark, monkeypatch):
+    """Partners that are just similar, in trees that split to the last level, are found all the same."""
+    for name, value in (("LIMIT", 2), ("RUNS", 6), ("LARGEST", 2)):
+        monkeypatch.setattr(J, name, value)
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    docs = []
+    for _ in range(60):
+        base = [word() for _ in range(95)]
+        docs += [" ".join(base), " ".join([*base[:-10], *(word() for _ in range(10))])]
+    docs = list(enumerate(docs))
+    assert result(spark, docs) == plain(docs)
+
+
 def test_samples_estimate_the_similarity():
     rng = np.random.default_rng(3)
     common, a, b = (np.unique(rng.integers(1, 1 << 63, n, np.uint64)) for n in (800, 100, 100))
