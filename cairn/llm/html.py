@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import html as references
 import re
 from collections.abc import Iterator
@@ -17,21 +18,22 @@ from cairn.llm.common import read_table
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea title select svg math object canvas audio video noframes noembed".split())
-REFUSED = RAW | frozenset("nav footer aside form button menu dialog head datalist".split())
+REFUSED = RAW | frozenset("nav footer aside button menu dialog head datalist".split())
 HINTS = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe teaser toolbar widget".split()
 )
-ROLES = frozenset("navigation banner contentinfo complementary search menu menubar alert alertdialog dialog form toolbar".split())
+ROLES = frozenset("navigation banner contentinfo complementary search menu menubar alert alertdialog dialog toolbar".split())
 #: What ends an open element of the key when it starts.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
 #: Elements that an implied end does not reach out of.
 WALLS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}}
 
-TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*\Z)|<(?P<raw>script|style|textarea|title|iframe|noframes|noembed)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>|<[!?/][^>]*>",
-    re.IGNORECASE | re.DOTALL,
+_TOKEN = (
+    r"<!--(?:.*?(?P<done>-->)|.*\Z)|<(?P<raw>script|style|textarea|title|iframe|noframes|noembed)\b{attrs}>.*?(?:(?P<closed></(?P=raw)\s*+>)|\Z)"
+    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>{attrs})>|(?P<broken><(?=/?[a-zA-Z]))|<[!?/][^>]*+>"
 )
+#: Tags whose attributes' quotes shield a ``>``, and tags up to the next one.
+QUOTED, PLAIN = (re.compile(_TOKEN.replace("{attrs}", attrs), re.IGNORECASE | re.DOTALL) for attrs in (r"(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+", r"[^>]*+"))
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 #: Share of the page's largest fused score that a path needs, and of the selected text that a content element must hold.
@@ -40,18 +42,35 @@ THRESHOLD, HELD = 0.2, 0.85
 MOST = 0.5
 
 
+def tokens(source: str) -> Iterator[re.Match]:
+    """Comments, raw elements and tags of a page, in one pass: each match is tried at a place that none has read before.
+
+    Quotes in a tag shield what is between them, up to a tag whose quotes never close; from there on they don't. What
+    follows the last ``>`` holds no tag.
+    """
+    end, at = source.rfind(">") + 1, 0
+    for m in QUOTED.finditer(source, 0, end):
+        if m["broken"] is None:
+            yield m
+            at = m.end()
+        else:
+            yield from (m for m in PLAIN.finditer(source, at, end) if m["broken"] is None)
+            return
+
+
 class Page:
     """The blocks of text of a page with the element and the tag path each stands in."""
 
     def __init__(self, source: str):
         self.parent, self.tag, self.path, self.refused, self.hint = [-1], ["#root"], [0], [False], [False]
         self.in_article = [False]
+        self.open_at: dict[str, list[int]] = {}
         self.paths: dict[tuple, int] = {}
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters in links
         self._read(source)
 
     def _open(self, at: int, tag: str, attrs: str) -> int:
-        kind, refused, hint = tag, self.refused[at] or tag in REFUSED, False
+        kind, refused, hint = tag, self.refused[at] or tag in REFUSED, tag == "form"
         if tag == "header" and not self.in_article[at]:
             refused = True
         if attrs:
@@ -62,6 +81,7 @@ class Page:
                     refused |= name == "hidden" or value == "true"
                 elif name == "role":
                     refused |= not ROLES.isdisjoint(words)
+                    hint |= "form" in words
                 elif tag not in ("html", "body", "article", "main"):
                     hint |= not HINTS.isdisjoint(words)
                     kind += "." + value
@@ -75,16 +95,14 @@ class Page:
 
     def _up(self, at: int, tags: set[str], walls: set[str]) -> int:
         """The parent of the outermost open element with one of ``tags``, as far as the first wall; else ``at``."""
-        found, node = at, at
-        while node > 0 and self.tag[node] not in walls:
-            if self.tag[node] in tags:
-                found = self.parent[node]
-            node = self.parent[node]
-        return found
+        wall = max((self.open_at[t][-1] for t in walls if self.open_at.get(t)), default=0)
+        found = [nodes[i] for nodes in map(self.open_at.get, tags) if nodes and (i := bisect.bisect(nodes, wall)) < len(nodes)]
+        return self.parent[min(found)] if found else at
 
     def _read(self, source: str) -> None:
         at, texts, in_link, linked, last = 0, [], 0, 0, 0
-        open_count: dict[str, int] = {}
+        #: The open elements of each tag, outermost first: numbers grow along the open ones.
+        open_at = self.open_at
 
         def flush() -> None:
             nonlocal linked
@@ -98,21 +116,23 @@ class Page:
         def move(to: int) -> None:
             nonlocal at
             while at != to:
-                open_count[self.tag[at]] -= 1
+                open_at[self.tag[at]].pop()
                 at = self.parent[at]
 
-        for m in TOKEN.finditer(source):
+        for m in tokens(source):
             if m.start() > last and not self.refused[at]:
                 text = references.unescape(source[last : m.start()])
                 texts.append(text)
                 linked += len(text) * bool(in_link)
             last = m.end()
-            tag = (m["name"] or m["name2"] or "").lower()
+            if (m["raw"] and not m["closed"]) or (source.startswith("<!--", m.start()) and not m["done"]):
+                last = len(source)  # what never ends takes the rest of the page
+            tag = (m["name"] or "").lower()
             if not tag:
                 if m["raw"]:
                     texts.append(" ")
                 continue
-            end, attrs = m["end"] or m["end2"], m["attrs"] or m["attrs2"]
+            end, attrs = m["end"], m["attrs"]
             if tag in INLINE:
                 if tag == "a":
                     in_link = 0 if end else 1
@@ -122,21 +142,18 @@ class Page:
             flush()
             in_link = 0
             if end:
-                if open_count.get(tag):
-                    node = at
-                    while self.tag[node] != tag:
-                        node = self.parent[node]
-                    move(self.parent[node])
+                if open_at.get(tag):
+                    move(self.parent[open_at[tag][-1]])
             else:
-                if open_count.get("p"):
+                if open_at.get("p"):
                     move(self._up(at, {"p"}, {"td", "th", "li", "table", "button", "object"}))
-                if tag in ENDS and any(open_count.get(t) for t in ENDS[tag]):
+                if tag in ENDS and any(map(open_at.get, ENDS[tag])):
                     move(self._up(at, ENDS[tag], WALLS.get(tag, set())))
                 if tag not in VOID:
                     at = self._open(at, tag, attrs)
-                    open_count[tag] = open_count.get(tag, 0) + 1
+                    open_at.setdefault(tag, []).append(at)
         if last < len(source) and not self.refused[at]:
-            texts.append(references.unescape(source[last:]))
+            texts.append(references.unescape(source[last:].partition("<!--")[0]))
         flush()
 
     def sums(self, of: np.ndarray, amounts: np.ndarray) -> np.ndarray:
@@ -182,7 +199,8 @@ def hinted_elements(page: Page, blocks: list[tuple[int, str, int]]) -> np.ndarra
 
     That is one with an ``h1`` or ``main`` too; or with an ``article`` or nearly all text, if no article or ``h1``
     with more text than headings stands outside all hints: then the hint marks what comes with that, as a long thread of
-    comments. Text is that of blocks that aren't mostly links.
+    comments. A form hints too, and is void only if most of its text is sentences. Text is that of blocks that aren't
+    mostly links.
     """
     of, links = np.array([b[0] for b in blocks]), np.array([b[2] for b in blocks], float)
     lengths = np.array([len(b[1]) for b in blocks], float)
@@ -196,6 +214,9 @@ def hinted_elements(page: Page, blocks: list[tuple[int, str, int]]) -> np.ndarra
     heads = own[free & (tags == "h1")].sum()
     beside = own[free & np.isin(tags, ("h1", "article"))].any() and own[0] > 2 * heads
     void = (held > MOST * held[0]) & (leading | (articles | (held >= HELD * held[0])) & (not beside))
+    # a form around a page holds sentences, one to fill in holds labels
+    sentences = page.sums(of, lengths * np.array([PUNCTUATION.search(b[1]) is not None for b in blocks]))
+    void &= (tags != "form") | (sentences > MOST * held)
     return page.within(np.flatnonzero(hint & ~void))
 
 

@@ -58,6 +58,29 @@ def test_long_and_deep_pages():
     assert extract("<div>" * 20000 + LONG) == LONG
 
 
+def test_forms_around_pages():
+    story = f"<h1>Head</h1><p>{LONG}</p><p>{LONG} {LONG}</p>"
+    menu = "<div class=top><a href=1>Menu</a> <a href=2>Other</a></div>"
+    assert extract(f"<form id=page>{menu}<div id=main>{story}</div></form>") == f"Head\n\n{LONG}\n\n{LONG} {LONG}"
+    assert extract(f"<div>{story}</div><form><p>Name</p><p>Say {LONG}</p></form>") == f"Head\n\n{LONG}\n\n{LONG} {LONG}"
+    assert extract("<form><label>Name</label><div>Street</div><button>Send</button></form>") == ""
+
+
+@pytest.mark.parametrize("part", ["<a ", "<a b='x ", '<a b="x ', "<!-- ", "<", "&amp", "<script>", "<p>x<div>", "<li><div>x", "<ul><li><ul><div>", "<b '>' ", "</x", "<td><p><table>", "<a" * 9 + " "])
+def test_malformed_pages_take_linear_time(part):
+    import time
+
+    began = time.perf_counter()
+    extract(part * (1_000_000 // len(part)) + f"'\"><p>{LONG}</p>")
+    assert time.perf_counter() - began < 20
+
+
+def test_unclosed_parts():
+    assert extract(f"<p>{LONG}</p><!-- never <p>closed</p>") == LONG and extract(f"<p>{LONG}</p><!-- never") == LONG
+    assert extract(f"<!DOCTYPE html><p>{LONG}</p a=\"><p>{LONG}</p>") == f"{LONG}\n\n{LONG}"
+    assert extract(f"<p>{LONG} <a href='x") == f"{LONG} <a href='x"
+
+
 def test_rows(spark):
     df = spark.createDataFrame([(1, "u", f"<article><p>{LONG}</p></article>", 3), (1, "u", f"<article><p>{LONG}</p></article>", 3), (2, None, None, 3), (None, "v", "", 3)], "page_id long, url string, html string, text int")
     rows = sorted((r["page_id"] or 0, r["n_chars"], r["text"]) for r in extract_pages(df).collect())
@@ -65,6 +88,13 @@ def test_rows(spark):
     assert extract_pages(df.limit(0)).count() == 0
 
 
+def test_pages_without_articles(spark, data_dir):
+    """What an article holds is found by its paths alone when the article is a plain element."""
+    for r in spark.read.parquet(f"{data_dir}/pages.parquet").collect():
+        plain = re.sub(r"<(/?)article\b", r"<\1div", r["html"])
+        assert extract(plain) == extract(r["html"])
+
+
 def test_whole_table(spark, data_dir):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{data_dir}/pages.parquet").collect()}
     rows = op4(spark, data_dir).collect()
