@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import materialize, read_table, running_offset, text_or_empty
+from cairn.llm.common import materialize, read_table, running_offset, running_total, text_or_empty
 
 SHARDS = 16
 FAN = 16
@@ -70,37 +70,51 @@ def communication_matrix(counts: DataFrame, levels: int, shards: int, seed: int)
     return nodes.withColumnRenamed("node", "block")
 
 
+def numbered_copies(docs: DataFrame, key: list[str], seed: int) -> DataFrame:
+    """(doc, _a, _b, _copy): each row whole, 128 bits of hash of its ``key``, and its number among the rows of an equal key.
+
+    Rows are sorted to ranges and counted there, so rows of one key are numbered by as many tasks as they need. Which of
+    them has which number doesn't matter: a key tells all that is asked of a row.
+    """
+    order = [F.col(c) for c in key]
+    named = docs.select(F.struct("*").alias("doc"), F.xxhash64(F.lit(seed), *order).alias("_a"), F.xxhash64(F.lit(seed + 1), *reversed(order)).alias("_b"), F.monotonically_increasing_id().alias("_n"))
+    # written, so that a row has one number whoever reads it
+    return running_total(materialize(named, "sharding-rows"), ["_a", "_b"], ["_n"], F.lit(1).cast("long"), "_copy").drop("_n")
+
+
 def shuffle_to_shards(docs: DataFrame, key: list[str], shards: int = SHARDS, seed: int = 11) -> DataFrame:
     """Adds ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 in each shard) to every row of ``docs``.
 
     The law is `rows`: shards' counts are at most one apart, and every order is equally likely up to the hashes'
-    quality. (1) Rows fall into blocks by a hash of ``key``; blocks are counted. (2) The matrix of how many rows each
-    block sends to each shard is drawn exactly. (3) Each block is permuted and cut by its row of the matrix, (4) shards
-    are permuted again, by ranges of a second hash, so that no task orders a shard. ``key`` are columns that tell rows
-    apart; rows equal in all of them may swap places. Nulls are values like others. An empty table gives an empty result.
+    quality. (1) Rows of equal ``key`` are numbered, so that copies part like other rows. Rows fall into blocks by a hash
+    of key and number; blocks are counted. (2) The matrix of how many rows each block sends to each shard is drawn
+    exactly. (3) Each block is permuted and cut by its row of the matrix, (4) shards are permuted again, by ranges of a
+    second hash, so that no task orders a shard. Rows equal in ``key`` may swap places. Nulls are values like others.
+    Columns ``shard`` and ``slot`` of ``docs`` are replaced, other names can't clash. An empty table gives an empty result.
     """
-    total = docs.count()
+    numbered = materialize(numbered_copies(docs, key, seed), "sharding-numbered")
+    total = numbered.count()
     levels = 1
     while FAN**levels * ROWS_PER_BLOCK < total:
         levels += 1
-    columns = docs.columns
-    order = [F.col(c) for c in key]
-    rows = docs.withColumns({"_block": F.pmod(F.xxhash64(F.lit(seed), *order), F.lit(FAN**levels)), "_mark": F.xxhash64(F.lit(seed + 1), *order), "_mark2": F.xxhash64(F.lit(seed + 2), *order)})
+    own = [F.col(c) for c in ("_a", "_b", "_copy")]
+    rows = numbered.withColumns({"_block": F.pmod(F.xxhash64(F.lit(seed), *own), F.lit(FAN**levels)), "_mark": F.xxhash64(F.lit(seed + 1), *own), "_mark2": F.xxhash64(F.lit(seed + 2), *own)})
     matrix = communication_matrix(rows.groupBy(F.col("_block").alias("block")).agg(F.count(F.lit(1)).alias("n")), levels, shards, seed)
     matrix = matrix.select(F.col("block").alias("_block"), F.expr("transform(row, (v, i) -> aggregate(slice(row, 1, i + 1), 0L, (s, x) -> s + x))").alias("_until"))
-    local = Window.partitionBy("_block").orderBy("_mark", *order)
+    local = Window.partitionBy("_block").orderBy("_mark", *own)
     dealt = rows.withColumn("_rank", F.row_number().over(local)).join(matrix, "_block")
     dealt = dealt.withColumn("shard", F.expr("size(filter(_until, v -> v < _rank))").cast("int")).drop("_block", "_mark", "_rank", "_until")
     ranges = max(1, -(-total // (shards * ROWS_PER_BLOCK)))
     width = -(-(1 << 62) // ranges)
     dealt = materialize(dealt.withColumn("_range", F.floor(F.shiftrightunsigned("_mark2", 2) / F.lit(width)).cast("int")), "sharding")
     before = running_offset(dealt.groupBy("shard", "_range").agg(F.count(F.lit(1)).alias("n")), ["shard"], ["_range"], "n", "_before").drop("n")
-    again = Window.partitionBy("shard", "_range").orderBy("_mark2", *order)
-    return dealt.join(before, ["shard", "_range"]).withColumn("slot", F.col("_before") + F.row_number().over(again) - 1).select(*columns, "shard", "slot")
+    again = Window.partitionBy("shard", "_range").orderBy("_mark2", *own)
+    slots = dealt.join(before, ["shard", "_range"]).withColumn("slot", F.col("_before") + F.row_number().over(again) - 1)
+    return slots.select(*(F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c not in ("shard", "slot")), "shard", "slot")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = text_or_empty()
-    docs = materialize(read_table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")), "sharding-docs")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     placed = shuffle_to_shards(docs, ["doc_id", "text_crc32", "size"])
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -54,3 +54,44 @@ def test_order_is_shuffled(spark):
     for s in range(16):
         low = sum(r["doc_id"] < 1500 for r in rows if r["shard"] == s)
         assert 60 < low < 128
+
+
+def test_copies_part_like_other_rows(spark):
+    """Copies of one row spread over all shards, and over all of each, whichever task holds them."""
+    key = spark.range(4000).select(F.when(F.col("id") < 3000, 7).otherwise(F.col("id")).alias("doc_id"), F.lit("x").alias("shard"), F.lit(1).alias("_block"), F.lit(2).alias("n"))
+    rows = S.shuffle_to_shards(key, ["doc_id", "_block"]).collect()
+    assert len(rows) == 4000 and set(rows[0].asDict()) == {"doc_id", "shard", "slot", "_block", "n"}
+    for s in range(16):
+        own = sorted((r["slot"], r["doc_id"] == 7) for r in rows if r["shard"] == s)
+        assert [x[0] for x in own] == list(range(250))
+        copies = [x[1] for x in own]
+        assert 160 < sum(copies) < 215  # 187.5 on average, 6.6 of deviation
+        runs = 1 + sum(a != b for a, b in zip(copies, copies[1:], strict=False))
+        assert 65 < runs < 130  # 94 on average
+        assert 80 < sum(copies[:125]) < 108
+
+
+def test_every_shard_is_equally_likely(spark):
+    """The first hundred rows over many seeds: shards and slots by the law of a uniform shuffle."""
+    key = spark.range(320).select(F.lit(5).alias("doc_id"), (F.col("id") < 50).alias("marked"))
+    counts, low = [0] * 16, 0
+    for seed in range(6):
+        for r in S.shuffle_to_shards(key, ["doc_id", "marked"], seed=100 * seed).where("marked").collect():
+            counts[r["shard"]] += 1
+            low += r["slot"] < 10
+    assert sum((c - 300 / 16) ** 2 / (300 / 16) for c in counts) < 38  # chi squared, 15 degrees: 1 in 1000
+    assert 115 < low < 185
+
+
+def test_long_texts_and_whole_table(spark, data_dir, tmp_path):
+    """Sizes, digests and laws of the whole table, and of a text of several MB, against plain Python."""
+    import zlib
+
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{data_dir}/documents.parquet").collect()] + [(None, None), (900001, "é" * 3_000_000), (900001, "é" * 3_000_000), (900002, "")]
+    spark.createDataFrame([(*d, "s") for d in docs], "doc_id long, text string, slot string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = S.op2(spark, str(tmp_path)).collect()
+    raw = [(i, (t or "").encode()) for i, t in docs]
+    assert sorted((str(r["doc_id"]), r["size"], r["text_crc32"]) for r in rows) == sorted((str(i), len(b) + 1, zlib.crc32(b)) for i, b in raw)
+    shards = [sorted(r["slot"] for r in rows if r["shard"] == s) for s in range(16)]
+    assert all(x == list(range(len(x))) for x in shards) and max(map(len, shards)) - min(map(len, shards)) <= 1
+    assert {(r["law"], r["grown_shard"]) for r in rows} == {("rows", None)}
