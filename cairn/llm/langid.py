@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from cairn.llm.common import read_table
 
-#: Bounds of the fit: labelled rows, landmarks among them, and n-grams of the landmarks (those in most landmarks stay).
-MAX_TRAIN, MAX_LANDMARKS, MAX_GRAMS = 1600, 320, 60_000
+#: Bounds of the fit: labelled rows, and landmarks among them.
+MAX_TRAIN, MAX_LANDMARKS = 1600, 320
+#: N-grams of one matrix product; more of them are worked through slice by slice.
+GRAMS_AT_ONCE = 65_536
 RIDGE = 1e-3
 #: Languages whose counts go to all tasks; a label that takes more values is joined by shuffle.
 MAX_BROADCAST = 100_000
@@ -42,14 +44,17 @@ def spectrum(text: str) -> np.ndarray:
 
 @dataclass
 class Model:
-    """scores = presence(text) / its norm @ weights: the kernel against all landmarks, their inverse root and the ridge weights in one."""
+    """scores = presence(text) / its norm @ weights: the kernel against all landmarks, their inverse root and the ridge weights in one.
+
+    ``grams`` are all n-grams of the landmarks: others are in no product, and a text's norm is that of its known ones.
+    """
 
     languages: list[str]
     grams: np.ndarray
     weights: np.ndarray
 
     def table(self) -> np.ndarray:
-        t = np.zeros(SPACE, np.uint16)
+        t = np.zeros(SPACE, np.min_scalar_type(len(self.grams)))
         t[self.grams] = np.arange(1, len(self.grams) + 1)
         return t
 
@@ -61,24 +66,43 @@ def fit(samples: list[tuple[str, np.ndarray]], ridge: float = RIDGE, landmarks:
         return Model([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32))
     each = max(1, landmarks // len(languages))
     chosen = [s[1] for lang in languages for s in [x for x in samples if x[0] == lang][:each]]
-    grams, found = np.unique(np.concatenate(chosen), return_counts=True)
-    if len(grams) > MAX_GRAMS:
-        grams = np.sort(grams[np.argsort(-found, kind="stable")[:MAX_GRAMS]])
-
-    def presence(spectra: list[np.ndarray]) -> np.ndarray:
-        out = np.zeros((len(spectra), len(grams)), np.float32)
-        for row, s in zip(out, spectra, strict=True):
-            row[np.searchsorted(grams, s[np.isin(s, grams, assume_unique=True)])] = 1
-        return out / np.sqrt(np.maximum(out.sum(1, keepdims=True), 1))
-
-    marks = presence(chosen)
-    values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
+    grams = np.unique(np.concatenate(chosen))
+    norm = lambda spectra: np.sqrt([[max(np.isin(s, grams, assume_unique=True).sum(), 1)] for s in spectra])
+    slices = [grams[i : i + GRAMS_AT_ONCE] for i in range(0, len(grams), GRAMS_AT_ONCE)]
+
+    def products(spectra: list[np.ndarray]) -> np.ndarray:
+        """The kernel between texts and landmarks."""
+        both = sum(presence(spectra, part).astype(np.float32) @ presence(chosen, part).astype(np.float32).T for part in slices)
+        return both / norm(spectra) / own.T
+
+    own = norm(chosen)
+    values, vectors = np.linalg.eigh(products(chosen))
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
-    features = np.concatenate([presence([s[1] for s in samples[i : i + ROWS]]) @ marks.T for i in range(0, len(samples), ROWS)]).astype(np.float64) @ root
+    features = np.concatenate([products([s[1] for s in samples[i : i + ROWS]]) for i in range(0, len(samples), ROWS)]) @ root
     wanted = np.array([[float(s[0] == lang) for lang in languages] for s in samples])
     ridged = np.linalg.solve(features.T @ features + ridge * len(samples) * np.eye(features.shape[1]), features.T @ wanted)
-    return Model(languages, grams, (marks.T.astype(np.float64) @ (root @ ridged)).astype(np.float32))
+    ridged = root @ ridged / own
+    return Model(languages, grams, np.concatenate([(presence(chosen, part).T @ ridged).astype(np.float32) for part in slices]))
+
+
+def presence(spectra: list[np.ndarray], grams: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(spectra), len(grams)), bool)
+    for row, s in zip(out, spectra, strict=True):
+        row[np.searchsorted(grams, s[np.isin(s, grams, assume_unique=True)])] = True
+    return out
+
+
+def scores_of(found: list[np.ndarray], weights: np.ndarray) -> np.ndarray:
+    """Scores of texts by the places of their known n-grams: presence by weights, slices of n-grams at a time."""
+    out = np.zeros((len(found), weights.shape[1]), np.float64)
+    for low in range(0, len(weights), GRAMS_AT_ONCE):
+        part = weights[low : low + GRAMS_AT_ONCE]
+        present = np.zeros((len(found), len(part)), np.float32)
+        for row, at in zip(present, found, strict=True):
+            row[at[np.searchsorted(at, low) : np.searchsorted(at, low + len(part))] - low] = 1
+        out += present @ part
+    return np.clip(out / np.sqrt([[max(len(at), 1)] for at in found]), 0, 1)
 
 
 def _spectra(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,14 +147,15 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             for start in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(start, ROWS)
                 texts = [t.as_py() or "" for t in batch.column(2)]
-                present = np.zeros((len(texts), len(m.grams) + 1), np.float32)
                 known = np.array([bool(m.languages) and any(map(str.isalpha, t)) for t in texts])
+                found = [np.zeros(0, np.int64)] * len(texts)
                 for i in np.flatnonzero(known):
+                    marks = np.zeros(len(m.grams) + 1, bool)
                     for codes in gram_codes(texts[i]):
-                        present[i][table[codes]] = 1
-                present = present[:, 1:]
+                        marks[table[codes]] = True
+                    found[i] = np.flatnonzero(marks[1:])
                 if m.languages:
-                    scores = np.clip(present @ m.weights / np.sqrt(np.maximum(present.sum(1, keepdims=True), 1)), 0, 1)
+                    scores = scores_of(found, m.weights)
                     best = scores.argmax(1)
                     names = [m.languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
                     values = np.where(known, scores[np.arange(len(best)), best], 0).astype(np.float64)

@@ -72,6 +72,20 @@ def test_scores_are_the_kernel_regression(spark):
     assert np.allclose(present @ model.weights / np.sqrt(present.sum(1, keepdims=True)), want, atol=1e-4)
 
 
+def test_slices_of_grams_add_up(monkeypatch):
+    """However many n-grams there are, slices of them give the model and the scores of all at once."""
+    samples = [(lang, L.spectrum(text(lang, i))) for lang in WORDS for i in range(8)]
+    rng = np.random.default_rng(1)
+    whole = L.fit(samples)
+    found = [np.sort(rng.choice(len(whole.grams), 40, replace=False)) for _ in range(5)] + [np.zeros(0, np.int64)]
+    scores = L.scores_of(found, whole.weights)
+    monkeypatch.setattr(L, "GRAMS_AT_ONCE", 37)
+    sliced = L.fit(samples)
+    assert np.array_equal(sliced.grams, whole.grams) and np.allclose(sliced.weights, whole.weights, atol=1e-4)
+    assert np.allclose(L.scores_of(found, whole.weights), scores, atol=1e-6)
+    assert L.Model([], np.arange(70_000), np.zeros((0, 0))).table().dtype == np.uint32
+
+
 @pytest.mark.parametrize("value", ["abc", "é", "a" * 5])
 def test_spectrum_is_presence(value):
     raw = b" " + value.encode() + b" "
