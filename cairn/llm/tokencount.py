@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import importlib.metadata
 import json
 from collections.abc import Iterator
 
@@ -23,8 +24,10 @@ SPACES = "[ \\t\\n\\r]+"
 
 
 def version_digest(path: str) -> str:
+    """What a stored count depends on besides the content: the tokenizer's file, its library's version, the folding of white space."""
+    library = "tokenizers" if path.endswith(".json") else "sentencepiece"
     with open(path, "rb") as f:
-        return hashlib.sha256(f.read()).hexdigest()
+        return hashlib.sha256(f"{library} {importlib.metadata.version(library)} {SPACES if splits_at_spaces(path) else ''}\n".encode() + f.read()).hexdigest()
 
 
 def splits_at_spaces(path: str) -> bool:
@@ -101,8 +104,8 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def count_tokens(docs: DataFrame, path: str, cache: str, limit: int = TOKEN_LIMIT) -> DataFrame:
     """Per row: doc_id, n_bytes, n_tokens, over_limit.
 
-    ``cache`` is a table (version, digest) -> n_tokens that runs share and append to; ``version`` is the digest of the
-    tokenizer file, ``digest`` that of the content with its white space folded as the tokenizer itself folds it. Only
+    ``cache`` is a table (version, digest) -> n_tokens, a folder a version, that runs over any tables share and append
+    to; ``version`` is :func:`version_digest`, ``digest`` that of the content with its white space folded as the tokenizer itself folds it. Only
     one row of each digest that the cache lacks is encoded. A null text counts as empty: 0 bytes, 0 tokens. Repeated
     rows repeat, an empty table gives an empty result, other columns are not read. A job that dies before its append
     leaves the cache as it was; two runs that append the same digest agree, and a digest read twice counts once.
@@ -119,7 +122,7 @@ def count_tokens(docs: DataFrame, path: str, cache: str, limit: int = TOKEN_LIMI
     texts = docs.select(F.col("doc_id").alias("id"), digest.alias("own"), folded.alias("text"))
     found = texts.join(missing.hint("shuffle_hash"), (texts["own"] == missing["digest"]) & texts["id"].eqNullSafe(missing["of"])).select("digest", "text")
     fresh = found.mapInArrow(_count_batches(path, version), "digest string, n_tokens bigint").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    fresh.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache)
+    fresh.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").partitionBy("version").parquet(cache)
     counts = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("version") == version).join(keyed, "digest", "left_semi")
     # written, so that both sides of the join are plain exchanges, of which a digest of very many copies is split
     counts = materialize(counts.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "tokencount-counts")
@@ -127,6 +130,5 @@ def count_tokens(docs: DataFrame, path: str, cache: str, limit: int = TOKEN_LIMI
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cache belongs to the table: another table is counted from nothing, the same one again only where it is new."""
-    cache = f"{scratch_root(spark)}/token-counts-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
-    return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), cache)
+    """One cache serves all tables: what any run has counted is not encoded again."""
+    return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), f"{scratch_root(spark)}/token-counts")

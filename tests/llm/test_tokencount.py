@@ -4,6 +4,7 @@ import public_tokenizers as P
 import pytest
 
 from cairn.llm import tokencount as T
+from cairn.llm.common import scratch_root
 
 
 def library(texts):
@@ -43,7 +44,7 @@ def test_cache_is_used(spark, tmp_path):
     cache, df = str(tmp_path / "cache"), frame(spark, [(1, "hello there", "", "")])
     count(spark, df, cache)
     wrong = spark.read.parquet(cache).selectExpr("version", "digest", "n_tokens + 100 as n_tokens").collect()
-    spark.createDataFrame(wrong, T.CACHE_SCHEMA).write.mode("append").parquet(cache)
+    spark.createDataFrame(wrong, T.CACHE_SCHEMA).write.mode("append").partitionBy("version").parquet(cache)
     assert count(spark, df, cache)[1, 11][0] > 100
     # another tokenizer's counts are not this one's
     assert count(spark, df, cache, "byte_bpe_50k.json")[1, 11][0] == 2
@@ -57,6 +58,24 @@ def test_piece_model(spark, tmp_path):
     assert count(spark, frame(spark, [(1, text, "", "")]), str(tmp_path / "cache"), "piece_bpe_32k.model")[1, len(text)][0] == want
 
 
+def test_tables_share_one_cache(spark, tmp_path):
+    """What one table brought is no miss in another: only its new content is appended."""
+    schema = "doc_id long, text string"
+    for name, rows in (("a", [(1, "shared text"), (2, "only here")]), ("b", [(9, "shared  text"), (8, "new there")])):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / name / "documents.parquet"))
+    stored = lambda: spark.read.parquet(f"{scratch_root(spark)}/token-counts").count()
+    T.op8(spark, str(tmp_path / "a")).collect()
+    before = stored()
+    got = {r["doc_id"]: r["n_tokens"] for r in T.op8(spark, str(tmp_path / "b")).collect()}
+    assert stored() == before + 1 and [got[9], got[8]] == library(["shared  text", "new there"])
+
+
+def test_very_long_texts(spark, tmp_path):
+    texts = ["word " * 400_000, "x" * 300_000, "\n" * 500_000]
+    got = count(spark, frame(spark, [(i, t, "", "") for i, t in enumerate(texts)]), str(tmp_path / "cache"))
+    assert [got[i, len(t)][0] for i, t in enumerate(texts)] == library(texts)
+
+
 def test_empty_table(spark, tmp_path):
     assert count(spark, frame(spark, []), str(tmp_path / "cache")) == {}
 
