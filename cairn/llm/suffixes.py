@@ -116,10 +116,10 @@ def repeated_starts(pieces: list[bytes], length: int = LENGTH) -> list[np.ndarra
 # ---- phrases: what can repeat ---------------------------------------------------------------------------------------
 
 
-def _hashes(a: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all strings of ``size`` bytes, and the sums from which any string's hash follows."""
+def _hashes(a: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all strings of ``size`` bytes: equal strings have equal ones; that others differ, nothing rests on."""
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[a] * _power("up", _BASE, len(a)))])
-    return mix((sums[size:] - sums[:-size]) * _power("down", _INVERSE, len(a))[: len(a) - size + 1]), sums
+    return mix((sums[size:] - sums[:-size]) * _power("down", _INVERSE, len(a))[: len(a) - size + 1])
 
 
 def _window_least(h: np.ndarray, w: int) -> np.ndarray:
@@ -133,8 +133,13 @@ def _window_least(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[: m - w + 1], ahead[w - 1 : m])
 
 
+def content_names(raw: bytes, starts: list[int], ends: list[int]) -> np.ndarray:
+    """128 bits of hash of strings of ``raw``, in two columns."""
+    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[x:y]) for x, y in zip(starts, ends, strict=True)]), np.int64).reshape(-1, 2)
+
+
 def phrases(raw: bytes, length: int = LENGTH, anchor: int = ANCHOR):
-    """The phrases of a text: (anchor hashes, content hashes, first starts, numbers of starts, whether an anchor recurs within).
+    """The phrases of a text: (anchor hashes, content hashes, first starts, numbers of starts, whether an anchor recurs within, contents' other hashes).
 
     The anchor of a string of ``length`` bytes is the least hash among its ``anchor``-byte strings, so equal strings have
     equal anchors, wherever they are. A phrase is a run of starts of the same anchor; its content is all their bytes.
@@ -143,16 +148,16 @@ def phrases(raw: bytes, length: int = LENGTH, anchor: int = ANCHOR):
         return None
     a = np.frombuffer(raw, np.uint8)
     w = length - anchor + 1
-    h, sums = _hashes(a, anchor)
+    h = _hashes(a, anchor)
     least = _window_least(h, w)
     starts = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
     ends = np.append(starts[1:], len(least))
     runs = ends - starts
     anchors = least[starts]
-    content = mix((sums[ends - 1 + length] - sums[starts]) * _power("down", _INVERSE, len(a))[starts] + runs.astype(np.uint64))
+    content = content_names(raw, starts.tolist(), (ends - 1 + length).tolist())
     recurs = np.zeros(len(starts), bool)
     recurs[_recurring(h, anchors, starts, ends, w)] = True
-    return anchors, content, starts, runs, recurs
+    return anchors, content[:, 0], starts, runs, recurs, content[:, 1]
 
 
 def _recurring(h: np.ndarray, anchors: np.ndarray, starts: np.ndarray, ends: np.ndarray, w: int) -> list[int]:
@@ -184,20 +189,20 @@ def _phrase_batches(length: int, anchor: int):
 
 def _phrase_batch(held: list) -> pa.RecordBatch:
     n = [len(f[0]) for _, _, f in held]
-    cat = [np.concatenate([f[k] for _, _, f in held]) for k in range(5)]
+    cat = [np.concatenate([f[k] for _, _, f in held]) for k in range(6)]
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.repeat([u for u, _, _ in held], n)), pa.array(np.repeat([v for _, v, _ in held], n)), pa.array(cat[0].view(np.int64)), pa.array(cat[1].view(np.int64)), pa.array(cat[2].astype(np.int32)), pa.array(cat[3].astype(np.int32)), pa.array(cat[4])],
-        names=["u", "v", "anchor", "content", "start", "run", "recurs"],
+        [pa.array(np.repeat([u for u, _, _ in held], n)), pa.array(np.repeat([v for _, v, _ in held], n)), pa.array(cat[0].view(np.int64)), pa.array(cat[1]), pa.array(cat[5]), pa.array(cat[2].astype(np.int32)), pa.array(cat[3].astype(np.int32)), pa.array(cat[4])],
+        names=["u", "v", "anchor", "content", "content2", "start", "run", "recurs"],
     )
 
 
-def pieces(text: bytes, start: int, run: int, anchor_hash: int, length: int = LENGTH, anchor: int = ANCHOR, size: int = PIECE) -> list[tuple[int, int, int, int]]:
-    """A phrase in pieces (key, content hash, first start, end of starts): starts whose distance to the anchor falls in one step of ``size``.
+def pieces(text: bytes, start: int, run: int, anchor_hash: int, length: int = LENGTH, anchor: int = ANCHOR, size: int = PIECE) -> list[tuple[int, int, int, int, int]]:
+    """A phrase in pieces (key, content hashes, first start, end of starts): starts whose distance to the anchor falls in one step of ``size``.
 
     The key hashes the bytes that all starts of the step have in common, and the step: equal strings are in pieces of equal keys.
     """
     a = np.frombuffer(text[start : start + run + length - 1], np.uint8)
-    h, _ = _hashes(a, anchor)
+    h = _hashes(a, anchor)
     at = np.flatnonzero(h == np.uint64(anchor_hash & 0xFFFFFFFFFFFFFFFF))
     own = at[np.searchsorted(at, np.arange(run))]
     step = (own - np.arange(run)) // size
@@ -206,8 +211,9 @@ def pieces(text: bytes, start: int, run: int, anchor_hash: int, length: int = LE
     for x, y in zip(cut.tolist(), [*cut[1:].tolist(), run], strict=True):
         low = start + int(own[x]) - int(step[x]) * size
         core = text[low : low - size + 1 + length]
-        out.append((xxhash.xxh3_64_intdigest(core, int(step[x])) - (1 << 63), xxhash.xxh3_64_intdigest(text[start + x : start + y - 1 + length], y - x) - (1 << 63), start + x, start + y))
-    return out
+        out.append((xxhash.xxh3_64_intdigest(core, int(step[x])) - (1 << 63), start + x, start + y))
+    names = content_names(text, [x for _, x, _ in out], [y - 1 + length for _, _, y in out]).tolist()
+    return [(key, *name, x, y) for (key, x, y), name in zip(out, names, strict=True)]
 
 
 def _piece_batches(length: int, anchor: int):
@@ -220,11 +226,11 @@ def _piece_batches(length: int, anchor: int):
                 raw, found = text.encode(), {}
                 for m in marks:
                     if m["open"]:
-                        for key, content, x, y in pieces(raw, m["start"], m["run"], m["anchor"], length, anchor):
-                            found.setdefault((m["anchor"], key, content, y - x), []).append(x)
+                        for key, content, content2, x, y in pieces(raw, m["start"], m["run"], m["anchor"], length, anchor):
+                            found.setdefault((m["anchor"], key, content, content2, y - x), []).append(x)
                 rows += [(u, v, *k, xs) for k, xs in found.items()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.int64()] * 5 + [pa.int32(), pa.list_(pa.int32())])], names=["u", "v", "anchor", "key", "content", "run", "starts"]
+                [pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.int64()] * 6 + [pa.int32(), pa.list_(pa.int32())])], names=["u", "v", "anchor", "key", "content", "content2", "run", "starts"]
             )
 
     return run
@@ -333,22 +339,22 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     suffixes by the difference cover and compares neighbours' first ``length`` bytes. Groups of very many pieces are cut
     to single strings, of which equal ones are counted instead. (4) Spans are joined to the texts they come from.
     """
-    found = docs.where(F.octet_length("text") >= length).mapInArrow(_phrase_batches(length, anchor), "u bigint, v bigint, anchor bigint, content bigint, start int, run int, recurs boolean")
+    found = docs.where(F.octet_length("text") >= length).mapInArrow(_phrase_batches(length, anchor), "u bigint, v bigint, anchor bigint, content bigint, content2 bigint, start int, run int, recurs boolean")
     rows = materialize(found, "suffixes-phrases")
     again = materialize(rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max("recurs").alias("r")).where("n > 1 or r").select("anchor"), "suffixes-again")
     rows2 = materialize(rows.join(again, "anchor"), "suffixes-anchors")
     release(rows, again)
-    marked = materialize(_open_and_repeated(rows2, ["anchor"], ["content"], F.count(F.lit(1))), "suffixes-marked")
+    marked = materialize(_open_and_repeated(rows2, ["anchor"], ["content", "content2"], F.count(F.lit(1))), "suffixes-marked")
     release(rows2)
-    marked2 = _first_of_repeated(marked, ["anchor", "content"], F.col("start"))
+    marked2 = _first_of_repeated(marked, ["anchor", "content", "content2"], F.col("start"))
     marks = marked2.groupBy("u", "v").agg(F.collect_set(F.struct("start", "run", "anchor", "repeated", "open")).alias("marks"))
     work = materialize(docs.join(marks.hint("shuffle_hash"), ["u", "v"]), "suffixes-texts")
     release(marked)
 
-    cut = work.where("exists(marks, m -> m.open)").mapInArrow(_piece_batches(length, anchor), "u bigint, v bigint, anchor bigint, key bigint, content bigint, run int, starts array<int>")
+    cut = work.where("exists(marks, m -> m.open)").mapInArrow(_piece_batches(length, anchor), "u bigint, v bigint, anchor bigint, key bigint, content bigint, content2 bigint, run int, starts array<int>")
     cut = materialize(cut.withColumn("recurs", F.lit(False)), "suffixes-pieces")
-    piece = _open_and_repeated(cut, ["anchor", "key"], ["content", "run"], F.sum(F.size("starts")))
-    piece = materialize(_first_of_repeated(piece, ["anchor", "key", "content", "run"], F.col("starts")[0]), "suffixes-open")
+    piece = _open_and_repeated(cut, ["anchor", "key"], ["content", "content2", "run"], F.sum(F.size("starts")))
+    piece = materialize(_first_of_repeated(piece, ["anchor", "key", "content", "content2", "run"], F.col("starts")[0]), "suffixes-open")
     release(cut)
     # repeated pieces are known by now, whichever group they are in
     known = piece.where("repeated").select("u", "v", F.explode("starts").alias("start"), "run")

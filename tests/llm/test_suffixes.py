@@ -66,6 +66,17 @@ def test_against_counting(spark):
     assert got(spark, corpus()) == plain(corpus(), 200)
 
 
+def test_contents_of_a_fixed_polynomial_hash_differ(spark):
+    """Strings that collide under any polynomial modulo 2 ** 64 are no repeats; a long text is cut at all its places."""
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    rng = random.Random(3)
+    other, edge = word.translate(str.maketrans("ab", "ba")), words(rng, 40)
+    texts = [edge + word, words(rng, 40) + other, words(rng, 20_000) + edge + words(rng, 20_000)]
+    assert got(spark, texts) == plain(texts, 200)
+
+
 def test_groups_of_very_many_pieces(spark, monkeypatch):
     monkeypatch.setattr(S, "LARGE", 3)
     assert got(spark, corpus()) == plain(corpus(), 200)
