@@ -17,8 +17,11 @@ ENTRIES = T.StructType(
     ]
 )
 CHUNK_REFS = "snapshot string, path string, ord int, hash string, len bigint"
-CHUNKS = "hash string, len bigint, mode string, bundle_no bigint, chunk_no bigint, data binary"
-SNAPSHOTS = "snapshot string, ts timestamp, host string, path string, config string, total_size bigint, changed_size bigint, dedup_size bigint, encoded_size bigint, bundle_count bigint, chunk_count bigint, avg_chunk_size double, dir_count bigint, file_count bigint, modified boolean, user_names map<bigint,string>, group_names map<bigint,string>"
+#: A stored chunk says by itself how it is read: codec and key of its data, and what its name is a hash by.
+CHUNKS = "hash string, len bigint, mode string, bundle_no bigint, chunk_no bigint, attempt string, codec string, hash_method string, key string, data binary"
+#: What bundles say of themselves, written with their chunks; what the chunks say is held against it.
+BUNDLES = "bundle_no bigint, mode string, attempt string, raw_size bigint, encoded_size bigint, chunk_count bigint, bundle_id string, codec string, hash_method string, key string"
+SNAPSHOTS = "snapshot string, attempt string, ts timestamp, host string, path string, config string, total_size bigint, changed_size bigint, dedup_size bigint, encoded_size bigint, bundle_count bigint, chunk_count bigint, avg_chunk_size double, dir_count bigint, file_count bigint, modified boolean, user_names map<bigint,string>, group_names map<bigint,string>"
 FILE_TYPES = ("file", "directory", "symlink", "block_device", "char_device", "named_pipe")
 
 # Names, aliases and defaults of the settings.
@@ -86,6 +89,8 @@ class Config:
     chunker: Chunker = field(default_factory=lambda: Chunker.parse("fastcdc/16"))
     compression: Compression | None = field(default_factory=lambda: Compression.parse("brotli/3"))
     hash: str = "blake2"
+    #: The name of the key that new data is encrypted with.
+    encryption: str | None = None
 
 
 def parse_size(text: str) -> int:

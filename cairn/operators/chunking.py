@@ -37,6 +37,12 @@ def lcg(seed: int) -> Iterator[int]:
         yield value
 
 
+def generated(n: int, seed: int = 0) -> bytes:
+    """Bytes of the generator that published chunk boundaries are made with: 32 bits of each value, the high byte first."""
+    values = lcg(seed)
+    return b"".join((next(values) & 0xFFFFFFFF).to_bytes(4, "big") for _ in range(n // 4))
+
+
 def _ends(n: int, next_cut: Callable[[int], int | None]) -> list[int]:
     """Ends of chunks: from each start the next cut, until there is none."""
     ends, start = [], 0

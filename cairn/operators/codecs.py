@@ -53,6 +53,20 @@ def decompressed(column: Column, codec: Compression | None) -> Column:
     return _column(decompress, codec)(column)
 
 
+def decompressed_by(column: Column, codec: Column) -> Column:
+    """Bytes by the codec that each row names; a null codec is none."""
+
+    @F.pandas_udf("binary")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        known: dict[str, Compression | None] = {}
+        for values, names in batches:
+            for name in names.dropna().unique():
+                known[name] = known.get(name) or Compression.parse(name)
+            yield pd.Series([None if v is None else decompress(bytes(v), known.get(n)) for v, n in zip(values, names, strict=True)], dtype=object)
+
+    return run(column, codec)
+
+
 def encrypted(column: Column, key: Column) -> Column:
     """AES-GCM in the JVM; a changed byte or another key fails the decryption."""
     return F.aes_encrypt(column, key, F.lit("GCM"))

@@ -50,6 +50,12 @@ def versions(entries: DataFrame, snapshot_order: str = "snapshot") -> DataFrame:
     return entries.groupBy("path", "type", "mtime", "size").agg(F.min(snapshot_order).alias("snapshot"))
 
 
+def versions_in_order(found: DataFrame, snapshot_order: str = "snapshot") -> DataFrame:
+    """Versions with their ``place`` in the history of their path, by time."""
+    place = F.row_number().over(Window.partitionBy("path").orderBy("mtime", "size", snapshot_order))
+    return found.withColumn("place", place)
+
+
 def duplicates(contents: DataFrame, min_size: int = 1) -> DataFrame:
     """Groups of paths with equal content: (content_id, size, copies, paths). ``contents`` is (path, size, data).
 

@@ -95,6 +95,16 @@ def fan_out(identity: Column, count: Column) -> Column:
     return F.array_join(F.concat(parts, F.array(identity)), "/")
 
 
+def without_bundle(index: DataFrame, bundle_no: int) -> DataFrame:
+    """The index without the places in a bundle, as when it is deleted."""
+    return index.where(F.col("bundle_no") != bundle_no)
+
+
+def overridden(index: DataFrame, placed: DataFrame) -> DataFrame:
+    """The index (hash, bundle_no, chunk_no, ..) with new places whatever it has: each hash of ``placed`` is there only."""
+    return index.join(placed.select("hash"), "hash", "left_anti").unionByName(placed)
+
+
 def chunk_positions(packed: DataFrame) -> DataFrame:
     """Adds ``position``: where a chunk begins in its bundle. A bundle's size bounds the window."""
     before = Window.partitionBy("bundle_no").orderBy("chunk_no").rowsBetween(Window.unboundedPreceding, -1)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.hashes import digests
+from cairn.functions.scalars import ancestors
 from cairn.model import Compression
 from cairn.operators.codecs import decompress
 
@@ -42,20 +43,38 @@ def changed_chunks(chunks: DataFrame, digest: Callable[[Column], Column] = F.md5
     return chunks.where(digest(F.col("data")) != F.col("hash"))
 
 
-def rehashed(chunks: DataFrame, codec: Compression | None, method: str) -> DataFrame:
-    """(stored_hash, hash): what each stored chunk hashes to now; null where it can't even be decoded."""
+def rehashed(chunks: DataFrame) -> DataFrame:
+    """``chunks`` with ``found``: what each stored chunk (hash, data, codec, hash_method) hashes to now; null where it can't even be decoded."""
+    names = [c for c in chunks.columns if c != "data"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for data in batch.column(1).to_pylist():
+            for data, codec, method in zip(batch.column("data"), batch.column("codec"), batch.column("hash_method"), strict=True):
                 try:
-                    found.append(digests(method, [decompress(data, codec)])[0])
+                    codec = codec.as_py()
+                    found.append(digests(method.as_py(), [decompress(data.as_py(), codec and Compression.parse(codec))])[0])
                 except Exception:  # each codec has errors of its own; any of them means damage
                     found.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=["stored_hash", "hash"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(found, pa.string())], names=[*names, "found"])
 
-    return chunks.select("hash", "data").mapInArrow(run, "stored_hash string, hash string")
+    schema = ", ".join(f"`{c}` {chunks.schema[c].dataType.simpleString()}" for c in names)
+    return chunks.mapInArrow(run, f"{schema}, found string")
+
+
+def catalog_faults(index: DataFrame, bundles: DataFrame) -> DataFrame:
+    """(fault, what): hashes and places that stand twice, bundles listed twice, chunks without a bundle and bundles without chunks."""
+    twice = lambda df, keys, fault, what: df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit(fault).alias("fault"), what.cast("string").alias("what"))
+    place = F.concat_ws("/", F.col("bundle_no").cast("string"), F.col("chunk_no").cast("string"))
+    out = twice(index, ["hash"], "hash twice", F.col("hash")).union(twice(index, ["bundle_no", "chunk_no"], "place twice", place)).union(twice(bundles, ["bundle_no"], "bundle twice", F.col("bundle_no")))
+    delta = catalog_delta(index.select("bundle_no").distinct(), bundles.select("bundle_no").distinct(), "bundle_no")
+    return out.union(delta.select(F.when(F.col("change") == "new", "bundle not listed").otherwise("bundle without chunks"), F.col("bundle_no").cast("string")))
+
+
+def misplaced(entries: DataFrame) -> DataFrame:
+    """(snapshot, path) of entries below something that is no directory; ``entries`` is (snapshot, path, type, ..)."""
+    others = entries.where("type <> 'directory'").select("snapshot", F.col("path").alias("_up"))
+    return entries.select("snapshot", "path", F.explode(ancestors(F.col("path"))).alias("_up")).join(others, ["snapshot", "_up"], "left_semi").select("snapshot", "path").distinct()
 
 
 def catalog_delta(found: DataFrame, known: DataFrame, key: str) -> DataFrame:

@@ -16,13 +16,22 @@ def reassemble(refs: DataFrame, chunks: DataFrame, by: list[str]) -> DataFrame:
     return joined.groupBy(*by).agg(F.aggregate(parts, F.lit(b"").cast("binary"), lambda acc, p: F.concat(acc, p["data"])).alias("data"))
 
 
-def read_range(refs: DataFrame, chunks: DataFrame, by: list[str], start: int, size: int) -> DataFrame:
-    """(by, data): ``size`` bytes from ``start`` of each content, of which only the chunks that overlap are read."""
+def overlapping(refs: DataFrame, by: list[str], start: int, size: int) -> DataFrame:
+    """The references that ``size`` bytes from ``start`` of each content overlap, with ``_from``, where each begins."""
     before = Window.partitionBy(*by).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     placed = refs.withColumn("_from", F.coalesce(F.sum("len").over(before), F.lit(0)))
-    wanted = placed.where((F.col("_from") < start + size) & (F.col("_from") + F.col("len") > start))
+    return placed.where((F.col("_from") < start + size) & (F.col("_from") + F.col("len") > start))
+
+
+def cut_range(wanted: DataFrame, chunks: DataFrame, by: list[str], start: int, size: int) -> DataFrame:
+    """(by, data): the bytes of the range from the references of :func:`overlapping`."""
     skip = F.greatest(F.lit(start) - F.col("_from"), F.lit(0))
     take = F.least(F.col("len"), F.lit(start + size) - F.col("_from")) - skip
     cut = wanted.join(chunks.select("hash", "data"), "hash").withColumn("data", F.substring("data", (skip + 1).cast("int"), take.cast("int")))
     parts = F.array_sort(F.collect_list(F.struct("ord", "data")))
     return cut.groupBy(*by).agg(F.aggregate(parts, F.lit(b"").cast("binary"), lambda acc, p: F.concat(acc, p["data"])).alias("data"))
+
+
+def read_range(refs: DataFrame, chunks: DataFrame, by: list[str], start: int, size: int) -> DataFrame:
+    """(by, data): ``size`` bytes from ``start`` of each content, of which only the chunks that overlap are read."""
+    return cut_range(overlapping(refs, by, start, size), chunks, by, start, size)

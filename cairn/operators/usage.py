@@ -30,6 +30,14 @@ def value_stats(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     return joined.withColumn("_b", bucket).groupBy(*by).agg(*(F.first(c).alias(c) for c in ("min", "max", "avg", "stddev", "n")), *counts)
 
 
+def bundle_statistics(bundles: DataFrame) -> DataFrame:
+    """:func:`value_stats` of raw and encoded size and number of chunks, for each mode and, with a null mode, for all bundles."""
+    values = F.array(*(F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("v")) for c in ("raw_size", "encoded_size", "chunk_count")))
+    modes = F.array(F.col("mode"), F.lit(None).cast("string"))
+    rows = bundles.select(F.explode(modes).alias("mode"), values.alias("all")).select(F.coalesce("mode", F.lit("")).alias("mode"), F.explode("all").alias("m")).select("mode", "m.*")
+    return value_stats(rows, "v", ["mode", "measure"]).withColumn("mode", F.nullif("mode", F.lit("")))
+
+
 def method_counts(bundles: DataFrame, columns: list[str]) -> DataFrame:
     """(kind, method, n, share): how many bundles use each method of each kind."""
     rows = bundles.select(F.explode(F.array(*(F.struct(F.lit(c).alias("kind"), F.col(c).cast("string").alias("method")) for c in columns))).alias("m")).select("m.kind", "m.method")

@@ -14,6 +14,13 @@ def lookup(entries: DataFrame, folder: str, name: str) -> DataFrame:
     return entries.where((parent(F.col("path")) == folder) & (base_name(F.col("path")) == name))
 
 
+def lookup_all(entries: DataFrame, asked: DataFrame) -> DataFrame:
+    """The entries that ``asked`` (parent, name) names, in any directories: a semi join, so no directory is gathered."""
+    named = entries.withColumns({"_parent": parent(F.col("path")), "_name": base_name(F.col("path"))})
+    a = asked.select(F.col("parent").alias("_parent"), F.col("name").alias("_name"))
+    return named.join(a, ["_parent", "_name"], "left_semi").drop("_parent", "_name")
+
+
 def attributes(entries: DataFrame) -> DataFrame:
     """Size in bytes and blocks, times, kind, permissions, owner and device number of each entry."""
     rdev = device_number(F.col("device.major"), F.col("device.minor")) if "device" in entries.columns else F.lit(None).cast("bigint")

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions import scalars
-from cairn.model import Chunker, Compression
+from cairn.functions.keys import Key
+from cairn.model import Chunker, Compression, Config
 from cairn.operators import chunking, codecs, compare, dedup, integrity, restore, retention, rollup, usage, views
+from cairn.plans.repository import Repository
 from cairn.sources import tables as src
-from cairn.tables import read_table, spread
+from cairn.tables import materialize, read_table, scratch_root, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -139,10 +142,10 @@ def duplicate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.duplicates(src.documents(spark, sf_dir))
 
 
-@query("SELECT md5(text) AS content_id, octet_length(encode(text))::BIGINT AS size, count(*) AS copies, min(conv_id || '/' || turn) AS first_path FROM conversations WHERE octet_length(encode(text)) >= 64 GROUP BY ALL HAVING count(*) > 1")
+@query("SELECT md5(text) AS content_id, octet_length(encode(text))::BIGINT AS size, count(*) AS copies, min(conv_id || '/' || turn) AS first_path FROM conversations WHERE octet_length(encode(text)) >= 24 GROUP BY ALL HAVING count(*) > 1")
 def duplicates_min_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read_table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("path"), F.octet_length("text").cast("long").alias("size"), F.col("text").cast("binary").alias("data"))
-    return compare.duplicates(turns, 64)
+    return compare.duplicates(turns, 24)
 
 
 @query(f"WITH {DOCS}, g AS (SELECT md5(text) AS content_id, count(*) AS copies FROM docs WHERE size >= 100 GROUP BY 1 HAVING count(*) > 1) SELECT md5(text) AS content_id, copies, path, size FROM docs JOIN g ON md5(text) = content_id WHERE size >= 100")
@@ -260,11 +263,12 @@ def entry_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.documents(spark, sf_dir).select("path", "type", "size", F.floor(F.col("size") / 512).alias("blocks"), "mtime", "mode", "uid", "gid", scalars.device_number(F.col("gid"), F.col("uid")).alias("rdev"))
 
 
-@query(f"WITH {DOCS} SELECT path, type AS kind, size, size // 512 AS blocks, mode & 4095 AS perm, uid, gid FROM docs WHERE source = 'src2' AND lang = 'en' AND doc_id % 2 = 0")
+@query(f"WITH {DOCS}, asked AS (SELECT DISTINCT parent, name FROM (SELECT '/' || source || '/' || lang AS parent, (doc_id + 1) || '.txt' AS name FROM documents)) SELECT path, type AS kind, size, size // 512 AS blocks, mode & 4095 AS perm, uid, gid FROM docs JOIN asked ON path = parent || '/' || name")
 def lookup_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Children of a directory by name: those whose name has an even number."""
-    even = src.documents(spark, sf_dir).where(scalars.base_name(F.col("path")).rlike(r"[02468]\.txt$") & (scalars.parent(F.col("path")) == "/src2/en"))
-    return views.attributes(even).select("path", "kind", "size", "blocks", "perm", "uid", "gid")
+    """Names asked for in every directory: each file's next number, there or not."""
+    docs = src.documents(spark, sf_dir)
+    asked = docs.select(scalars.parent(F.col("path")).alias("parent"), F.format_string("%d.txt", F.col("doc_id") + 1).alias("name")).distinct()
+    return views.attributes(views.lookup_all(docs, asked)).select("path", "kind", "size", "blocks", "perm", "uid", "gid")
 
 
 @query("SELECT event_id, strftime(ts, '%a, %-d %b %Y %H:%M:%S') || ' +0000' AS shown FROM events")
@@ -474,7 +478,7 @@ def catalog_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PACKED} SELECT hash, bundle_no, chunk_no FROM packed WHERE bundle_no <> 3")
 def index_without_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return src.packed(spark, sf_dir).where("bundle_no <> 3").select("hash", "bundle_no", "chunk_no")
+    return dedup.without_bundle(src.packed(spark, sf_dir), 3).select("hash", "bundle_no", "chunk_no")
 
 
 @query(f"WITH {SEEN}, b AS (SELECT DISTINCT path FROM crefs WHERE hash[1:1] = 'f') SELECT path, CASE WHEN b.path IS NULL THEN size ELSE 0 END AS size, b.path IS NOT NULL AS modified FROM docs LEFT JOIN b USING (path)")
@@ -494,8 +498,12 @@ def _stored(rows: DataFrame) -> DataFrame:
 
 @query("SELECT doc_id, octet_length(d)::BIGINT AS size, md5(d) AS content_id FROM (SELECT doc_id, encode(text)[1501:3500] AS d FROM documents WHERE octet_length(encode(text)) > 1500)")
 def range_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chunking.content_chunks(src.documents(spark, sf_dir), "data", "fixed", 512, ["doc_id"], with_data=True)
-    data = restore.read_range(rows.drop("data"), _stored(rows), ["doc_id"], 1500, 2000).where(F.octet_length("data") > 0)
+    docs = src.documents(spark, sf_dir)
+    wanted = materialize(restore.overlapping(src.references(spark, sf_dir, 512).select("doc_id", "ord", "len", "hash"), ["doc_id"], 1500, 2000), "range-wanted")
+    # only chunks that some range needs are cut out with their bytes
+    chunk = F.substring("data", F.col("ord") * 512 + 1, F.lit(512))
+    stored = docs.select("doc_id", "data").join(wanted.groupBy("hash").agg(F.min(F.struct("doc_id", "ord")).alias("at")).select("hash", "at.*"), "doc_id").select("hash", chunk.alias("data"))
+    data = restore.cut_range(wanted, stored, ["doc_id"], 1500, 2000)
     return data.select("doc_id", F.octet_length("data").cast("long").alias("size"), F.md5("data").alias("content_id"))
 
 
@@ -590,6 +598,145 @@ def percent_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.select("l_suppkey", scalars.percent_saved(F.col("t"), F.col("d")).alias("saved"))
 
 
+# ---- cuts, settings and order ---------------------------------------------------------------------------------------
+
+#: Cut positions of each method are pinned by lists of the published generator's bytes, in SQL as in the tests.
+_CUTS = {
+    "ae": "7979 8046 7979 8192 8192 8192 7965 8158 8404 8241 8011 8302 8120 8335 8192 8192 572", "rabin": "8604 4190 32769 3680 26732 3152 9947 6487 25439 3944 6128",
+    "fastcdc": "8712 8018 2847 9157 8997 8581 8867 5422 5412 9478 11553 9206 4606 8529 3821 11342 6524", "fixed": " ".join(["8192"] * 16 + ["0"]),
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{m}' AS method, (row_number() OVER () - 1)::INT AS ord, n::BIGINT AS len FROM unnest([{', '.join(cuts.split())}]) t(n)" for m, cuts in _CUTS.items()))
+def cut_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of 128 KiB of the published generator by each method: the positions themselves, which round trips don't see."""
+    data = spark.createDataFrame([(chunking.generated(128 * 1024),)], "data binary")
+    out = None
+    for method in _CUTS:
+        part = chunking.content_chunks(data, "data", method, 8192, []).select(F.lit(method).alias("method"), "ord", "len")
+        out = part if out is None else out.union(part)
+    return out
+
+
+@query("SELECT o_orderkey, o_orderdate FROM (SELECT o_orderkey, o_orderdate, row_number() OVER (PARTITION BY o_orderdate::DATE ORDER BY o_orderdate DESC, o_orderkey DESC) AS r, dense_rank() OVER (ORDER BY o_orderdate::DATE DESC) AS d FROM orders WHERE starts_with(o_orderkey::VARCHAR, '1')) WHERE r = 1 AND d <= 5")
+def retention_with_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only names of a prefix are judged: the newest of the last five days among them stay."""
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", F.col("o_orderkey").cast("string").alias("name"))
+    # ties go to the greatest number, as numbers
+    named = orders.withColumn("name", F.concat(F.substring("name", 1, 1), F.lpad("name", 12, "0")))
+    return retention.keep(named, ts="o_orderdate", name="name", prefix="1", daily=5).where("keep").select("o_orderkey", "o_orderdate")
+
+
+@query("SELECT path, mtime, size, first, (row_number() OVER (PARTITION BY path ORDER BY mtime, size, first))::INT AS place FROM (SELECT user_id::VARCHAR AS path, date_trunc('day', ts)::TIMESTAMP AS mtime, floor(value)::BIGINT AS size, min(event_id) AS first FROM events GROUP BY 1, 2, 3)")
+def versions_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read_table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("path"), F.lit("file").alias("type"), F.date_trunc("day", "ts").alias("mtime"), F.floor("value").cast("long").alias("size"), F.col("event_id").alias("snapshot"))
+    return compare.versions_in_order(compare.versions(e)).select("path", "mtime", "size", F.col("snapshot").alias("first"), "place")
+
+
+# ---- repositories ----------------------------------------------------------------------------------------------------
+
+
+def _repository(spark: SparkSession, **settings) -> Repository:
+    """A new repository in the shared folder, of fixed chunks with names that SQL can make too."""
+    config = Config(**({"bundle_size": 65536, "chunker": Chunker("fixed", 1024), "compression": None, "hash": "md5"} | settings))
+    return Repository.init(spark, f"{scratch_root(spark)}/repository-{uuid.uuid4().hex}", config)
+
+
+def _as_files(entries: DataFrame) -> DataFrame:
+    return entries.withColumn("symlink_target", F.lit(None).cast("string"))
+
+
+def _contents(repo: Repository, name: str) -> DataFrame:
+    return repo.restore(name).select("path", "size", F.md5(F.coalesce("data", F.lit(b"").cast("binary"))).alias("content_id"))
+
+
+class _Ended(Exception):
+    pass
+
+
+@query(f"WITH {DOCS} SELECT path, size, md5(text) AS content_id FROM docs")
+def crash_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A backup that ends before its snapshot is there, and runs again: the snapshot holds every entry once."""
+    repo, files = _repository(spark), _as_files(src.documents(spark, sf_dir))
+
+    def end(table: str) -> None:
+        if table == "snapshots":
+            raise _Ended
+
+    repo._before = end
+    try:
+        repo.backup(files, "one", "2024-01-01 10:00:00")
+    except _Ended:
+        repo = Repository(spark, repo.root)
+    repo.backup(files, "one", "2024-01-01 10:00:00")
+    return _contents(repo, "one")
+
+
+@query(f"WITH {DOCS}, {snapshot_sql(1)}, {snapshot_sql(2)} SELECT path, size, content_id FROM v2")
+def mixed_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codec, hash and encryption change between two snapshots; chunks of both are read by their own, after a compaction too."""
+    repo, key = _repository(spark, compression=Compression.parse("deflate/6")), Key.from_password("between the lines")
+    repo.backup(_as_files(src.snapshot(spark, sf_dir, 1)), "one", "2024-01-01 10:00:00")
+    repo.add_key(key)
+    repo.set_config(Config(65536, Chunker("fixed", 1024), Compression.parse("lzma/2"), "murmur3", key.name))
+    repo.backup(_as_files(src.snapshot(spark, sf_dir, 2)), "two", "2024-01-02 10:00:00")
+    repo.remove("one")
+    repo.vacuum(0.9, force=True)
+    return _contents(repo, "two")
+
+
+_LOST = f"WITH {SEEN}, b AS (SELECT DISTINCT path FROM crefs JOIN docs USING (path) WHERE size >= 100 AND hash[1:1] = 'f')"
+
+
+@query(f"{_LOST} SELECT 'one' AS snapshot, path, CASE WHEN b.path IS NULL THEN size ELSE 0 END AS size, b.path IS NOT NULL AS modified FROM docs LEFT JOIN b USING (path) UNION ALL SELECT 'one.broken', path, size, false FROM docs")
+def repository_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks are lost; a repair empties the files that had them and keeps the original snapshot beside."""
+    repo = _repository(spark)
+    repo.backup(_as_files(src.documents(spark, sf_dir)), "one", "2024-01-01 10:00:00")
+    repo._switch(chunks=repo.chunks().where("substring(hash, 1, 1) <> 'f'"))
+    repo.repair()
+    return repo.entries().select("snapshot", "path", "size", "modified")
+
+
+@query(
+    f"WITH {BUNDLES}, m AS (SELECT mode, 'raw_size' AS measure, raw_size::DOUBLE AS v FROM bundles UNION ALL SELECT mode, 'encoded_size', encoded_size FROM bundles UNION ALL SELECT mode, 'chunk_count', chunk_count FROM bundles),"
+    " x AS (SELECT * FROM m UNION ALL SELECT '', measure, v FROM m), r AS (" + _STATS.format(g="mode, measure,", by="GROUP BY mode, measure", join="JOIN s USING (mode, measure)", by2="GROUP BY mode, measure").replace("s AS (", "SELECT * FROM (WITH s AS (", 1)
+    + ")) SELECT nullif(mode, '') AS mode, * EXCLUDE (mode) FROM r"
+)
+def bundle_statistics_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and counts of bundles by mode, and of all together."""
+    return usage.bundle_statistics(src.bundle_table(src.packed(spark, sf_dir)))
+
+
+@query(
+    f"WITH {BUNDLES}, i AS (SELECT hash, bundle_no, chunk_no FROM packed WHERE bundle_no <> 1 UNION ALL SELECT hash, bundle_no + 500, chunk_no FROM packed WHERE bundle_no = 2)"
+    " SELECT 'hash twice' AS fault, hash AS what FROM i GROUP BY hash HAVING count(*) > 1 UNION ALL SELECT 'place twice', bundle_no || '/' || chunk_no FROM i GROUP BY bundle_no, chunk_no HAVING count(*) > 1"
+    " UNION ALL SELECT 'bundle not listed', (b)::VARCHAR FROM (SELECT DISTINCT bundle_no AS b FROM i) WHERE b NOT IN (SELECT bundle_no FROM bundles) UNION ALL SELECT 'bundle without chunks', (bundle_no)::VARCHAR FROM bundles WHERE bundle_no NOT IN (SELECT bundle_no FROM i)"
+)
+def catalog_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bundle's chunks are gone, another's are listed again under a number that no bundle has."""
+    placed = src.packed(spark, sf_dir)
+    columns = placed.select("hash", "bundle_no", "chunk_no")
+    index = dedup.without_bundle(columns, 1).union(columns.where("bundle_no = 2").withColumn("bundle_no", F.col("bundle_no") + 500))
+    return integrity.catalog_faults(index, src.bundle_table(placed))
+
+
+@query(f"WITH {PACKED} SELECT hash, bundle_no + CASE WHEN bundle_no % 4 = 1 THEN 1000 ELSE 0 END AS bundle_no, chunk_no FROM packed")
+def override_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks that are there already are put again, unasked: their new place is the one that counts."""
+    index = src.packed(spark, sf_dir).select("hash", "bundle_no", "chunk_no")
+    again = index.where("bundle_no % 4 = 1").withColumn("bundle_no", F.col("bundle_no") + 1000)
+    return dedup.overridden(index, again)
+
+
+@query(f"WITH {DOCS} SELECT 's' || (doc_id % 2) AS snapshot, path || '/below' AS path FROM docs WHERE doc_id % 11 = 0 AND doc_id % 97 <> 1")
+def misplaced_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries below files, which a repair takes out; those below directories stay."""
+    docs = src.documents(spark, sf_dir).select(F.concat(F.lit("s"), (F.col("doc_id") % 2).cast("string")).alias("snapshot"), "path", F.when(F.col("doc_id") % 97 == 1, "directory").otherwise("file").alias("type"), "doc_id")
+    below = docs.where("doc_id % 11 = 0 or doc_id % 97 = 1").withColumns({"path": F.concat("path", F.lit("/below")), "type": F.lit("file")})
+    return integrity.misplaced(docs.unionByName(below))
+
+
 def chunker_listing(spark: SparkSession, sf_dir: str, chunker: str) -> DataFrame:
     """Chunks of the documents by any chunker, for ad hoc use."""
     return chunking.chunks(src.documents(spark, sf_dir), "data", Chunker.parse(chunker), ["doc_id"])

@@ -26,7 +26,7 @@ def test_scan_and_restore(spark, tmp_path):
     a = rows["/d/a.txt"]
     assert (a["type"], a["size"], a["mode"], a["mtime"], bytes(a["data"])) == ("file", 500, 0o640, 1000, b"hello" * 100)
     assert (rows["/link"]["type"], rows["/link"]["symlink_target"], rows["/pipe"]["type"]) == ("symlink", "d/a.txt", "named_pipe")
-    files.restore_files(found, str(tmp_path / "back"))
+    assert {r["problem"].split(":")[0] for r in files.restore_files(found, str(tmp_path / "back")).collect()} <= {"owner"}
     again = {r["path"]: r for r in files.scan(spark, str(tmp_path / "back")).collect()}
     assert set(again) == set(rows)
     for p, r in rows.items():
@@ -34,6 +34,38 @@ def test_scan_and_restore(spark, tmp_path):
     assert again["/d/a.txt"]["mtime"] == 1000
 
 
+def test_metadata_there_and_back(spark, tmp_path):
+    """Owners, attributes, times of folders and devices, as far as this user may; the rest is told."""
+    (tmp_path / "src" / "d").mkdir(parents=True)
+    f = tmp_path / "src" / "d" / ".bashrc"
+    f.write_bytes(b"x")
+    os.utime(tmp_path / "src" / "d", (77, 77))
+    rows = files.scan(spark, str(tmp_path / "src")).collect()
+    schema = files.SCHEMA
+    me, group = os.getuid(), os.getgid()
+    more = [("/dev", "char_device", 0, 420, me, group, 5, None, 1, 3, {}, None), ("/d/x", "file", 1, 420, me, group, 6, None, None, None, {"user.k": b"v"}, b"y")]
+    problems = {(r["path"], r["problem"].split(":")[0]) for r in files.restore_files(spark.createDataFrame([tuple(r) for r in rows] + more, schema), str(tmp_path / "back")).collect()}
+    back = {r["path"]: r for r in files.scan(spark, str(tmp_path / "back")).collect()}
+    assert bytes(back["/d/.bashrc"]["data"]) == b"x" and back["/d"]["mtime"] == 77 and (back["/d/x"]["uid"], back["/d/x"]["mtime"]) == (me, 6)
+    assert ("/dev", "device") in problems or (back["/dev"]["type"], back["/dev"]["major"], back["/dev"]["minor"]) == ("char_device", 1, 3)
+    assert ("/d/x", "attribute user.k") in problems or bytes(back["/d/x"]["xattrs"]["user.k"]) == b"v"
+    assert problems <= {("/dev", "device"), ("/d/x", "attribute user.k")}
+
+
+def test_unreadable_folders_are_told(spark, tmp_path, monkeypatch):
+    (tmp_path / "gone").mkdir()
+    run = files._listing(str(tmp_path), None, None)
+    import pyarrow as pa
+
+    rows = next(run(iter([pa.RecordBatch.from_arrays([pa.array(["/", "/none"])], names=["path"])]))).to_pylist()
+    assert rows[0] == {"path": "/gone", "folder": True, "error": None} and rows[1]["path"] == "/none" and rows[1]["error"]
+    assert files.unreadable(spark, str(tmp_path)).count() == 0
+
+
+def test_member_paths():
+    assert [files.member_path(n) for n in (".bashrc", "./a/.b./c", ".", "d/", "/x//y", "...", "a/./b")] == ["/.bashrc", "/a/.b./c", "/", "/d", "/x/y", "/...", "/a/b"]
+
+
 def test_contents_of_any_store(spark, tmp_path):
     (tmp_path / "src").mkdir()
     make(tmp_path / "src")
