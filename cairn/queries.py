@@ -142,10 +142,11 @@ def duplicate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.duplicates(src.documents(spark, sf_dir))
 
 
-@query("SELECT md5(text) AS content_id, octet_length(encode(text))::BIGINT AS size, count(*) AS copies, min(conv_id || '/' || turn) AS first_path FROM conversations WHERE octet_length(encode(text)) >= 24 GROUP BY ALL HAVING count(*) > 1")
+@query(f"WITH {DOCS}, f AS (SELECT path, size, text FROM docs UNION ALL SELECT '/talk/' || conv_id || '/' || turn, octet_length(encode(text)), text FROM conversations) SELECT md5(text) AS content_id, size, count(*) AS copies, min(path) AS first_path FROM f WHERE size >= 300 GROUP BY ALL HAVING count(*) > 1")
 def duplicates_min_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = read_table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("path"), F.octet_length("text").cast("long").alias("size"), F.col("text").cast("binary").alias("data"))
-    return compare.duplicates(turns, 24)
+    data = F.col("text").cast("binary")
+    turns = read_table(spark, sf_dir, "conversations").select(F.concat_ws("/", F.lit("/talk"), "conv_id", "turn").alias("path"), F.octet_length(data).cast("long").alias("size"), data.alias("data"))
+    return compare.duplicates(src.documents(spark, sf_dir).select("path", "size", "data").union(turns), 300)
 
 
 @query(f"WITH {DOCS}, g AS (SELECT md5(text) AS content_id, count(*) AS copies FROM docs WHERE size >= 100 GROUP BY 1 HAVING count(*) > 1) SELECT md5(text) AS content_id, copies, path, size FROM docs JOIN g ON md5(text) = content_id WHERE size >= 100")
@@ -263,11 +264,12 @@ def entry_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.documents(spark, sf_dir).select("path", "type", "size", F.floor(F.col("size") / 512).alias("blocks"), "mtime", "mode", "uid", "gid", scalars.device_number(F.col("gid"), F.col("uid")).alias("rdev"))
 
 
-@query(f"WITH {DOCS}, asked AS (SELECT DISTINCT parent, name FROM (SELECT '/' || source || '/' || lang AS parent, (doc_id + 1) || '.txt' AS name FROM documents)) SELECT path, type AS kind, size, size // 512 AS blocks, mode & 4095 AS perm, uid, gid FROM docs JOIN asked ON path = parent || '/' || name")
+@query(f"WITH {DOCS}, asked AS (SELECT DISTINCT '/' || source || '/' || lang AS parent, (doc_id + n) || '.txt' AS name FROM documents JOIN labels USING (doc_id), (VALUES (0), (1)) t(n)) SELECT path, type AS kind, size, size // 512 AS blocks, mode & 4095 AS perm, uid, gid FROM docs JOIN asked ON path = parent || '/' || name")
 def lookup_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names asked for in every directory: each file's next number, there or not."""
+    """A table of names asked for in all directories: those of labelled documents, and their next numbers, which are mostly not there."""
     docs = src.documents(spark, sf_dir)
-    asked = docs.select(scalars.parent(F.col("path")).alias("parent"), F.format_string("%d.txt", F.col("doc_id") + 1).alias("name")).distinct()
+    asked = docs.join(read_table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id").select(scalars.parent(F.col("path")).alias("parent"), F.explode(F.array("doc_id", F.col("doc_id") + 1)).alias("n"))
+    asked = asked.select("parent", F.format_string("%d.txt", "n").alias("name")).distinct()
     return views.attributes(views.lookup_all(docs, asked)).select("path", "kind", "size", "blocks", "perm", "uid", "gid")
 
 
