@@ -13,9 +13,11 @@ NEAREST = 20
 #: Out-edges of a node, width of the beam while building and while asking, nodes expanded at a time, slack of the pruning.
 DEGREE, BUILD_BEAM, ASK_BEAM, EXPAND, ALPHA = 48, 96, 128, 4, 1.1
 BATCH = 256
-#: Distinct vectors of a shard: few rows make few shards, a large table makes shards of the upper bound.
-SHARD_ROWS, SHARDS_FIRST = (4096, 65_536), 64
-QUERY_BLOCK = 8192
+#: Distinct vectors of a shard: a table makes few shards, as every query asks each, until they are of the upper bound.
+SHARD_ROWS, SHARDS_FIRST = (4096, 65_536), 4
+#: Queries of a block: as many as a full shard has vectors, so that neither graphs nor queries are copied more often than
+#: the other; fewer where vectors are long.
+QUERY_BLOCK, QUERY_BYTES = 65_536, 64 << 20
 
 
 def beam_search(x: np.ndarray, out: np.ndarray, entries: np.ndarray, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -219,7 +221,8 @@ def nearest_neighbours(vectors: DataFrame, query_every: int = 20, k: int = NEARE
     graph = materialize(sharded.groupBy("shard").applyInArrow(_build, schema), "neighbours-graph")
 
     queries = rows.where(F.col("vec_id") % query_every == 0)
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    count, longest = queries.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    blocks = max(1, -(-count // max(BATCH, min(QUERY_BLOCK, QUERY_BYTES // (8 * (longest or 1))))))
     asked = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("shard", dimension + F.col("shard"))
     offered = graph.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     found = offered.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(_ask(k), "query_id bigint, vec_id bigint, score double")
