@@ -14,9 +14,11 @@ ROWS_PER_BLOCK = 200_000
 def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share for intermediate tables.
 
-    It is ``spark.checkpoint.dir``; only where that is unset (tests, local runs) the warehouse holds it.
+    It is ``spark.checkpoint.dir``; only where that is unset, in local runs as of tests, the warehouse holds it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     return root or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
