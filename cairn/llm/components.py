@@ -30,15 +30,17 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """``edges`` is (a, b) of any ordered type; returns (node, root): for every node of an edge the least node it is linked with.
 
     Large and small stars alternate until the edges are stars. Every round is written to the
-    shared folder. Loops and repeated edges don't matter; no edges give no rows.
+    shared folder. Loops and repeated edges don't matter; no edges give no rows. Rounds that don't suffice are an error.
     """
     current = materialize(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
-    for _ in range(max_rounds):
+    for turn in range(max_rounds + 1):
         # stars: no node is both leaf and centre, and a leaf has one centre
         ends = current.select(F.col("a").alias("node"), F.lit(1).alias("leaf")).union(current.select("b", F.lit(0)))
         roles = ends.groupBy("node").agg(F.sum("leaf").alias("centres"), F.min("leaf").alias("least"))
         if roles.where("centres > 1 or centres = 1 and least = 0").isEmpty():
             break
+        if turn == max_rounds:
+            raise RuntimeError(f"links are not stars after {max_rounds} rounds")
         large = materialize(_star(current, small=False), "components")
         release(current)
         current = materialize(_star(large, small=True), "components")

@@ -193,3 +193,10 @@ def test_components(spark):
 def test_whole_table(spark, data_dir):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{data_dir}/documents.parquet").collect()]
     assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in J.op9(spark, data_dir).collect()} == plain(docs)
+
+
+def test_components_that_rounds_do_not_finish_are_an_error(spark):
+    chain = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        connected_components(chain, max_rounds=0)
+    assert connected_components(chain.where("a = 1"), max_rounds=0).count() == 2
