@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import importlib.metadata
 import json
+import uuid
 from collections.abc import Iterator
 
 import public_tokenizers
@@ -18,6 +19,7 @@ TOKENIZER = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
 #: Words whose counts a worker remembers, some 40 MB, and the longest of them.
 MEMO_WORDS, MEMO_CHARS = 250_000, 64
+CACHE_SETTING = "spark.cairn.tokenCache"
 CACHE_SCHEMA = "version string, digest string, n_tokens bigint"
 #: What the tokenizer's own normaliser makes one space; splitting or joining there cannot change a count.
 SPACES = "[ \\t\\n\\r]+"
@@ -130,5 +132,6 @@ def count_tokens(docs: DataFrame, path: str, cache: str, limit: int = TOKEN_LIMI
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One cache serves all tables: what any run has counted is not encoded again."""
-    return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), f"{scratch_root(spark)}/token-counts")
+    """The cache is the folder that the setting CACHE_SETTING names, for all tables and runs; unset, a new one, so a call then counts everything itself."""
+    cache = spark.conf.get(CACHE_SETTING, None) or f"{scratch_root(spark)}/token-counts-{uuid.uuid4().hex}"
+    return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), cache)

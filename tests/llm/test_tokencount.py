@@ -4,7 +4,6 @@ import public_tokenizers as P
 import pytest
 
 from cairn.llm import tokencount as T
-from cairn.llm.common import scratch_root
 
 
 def library(texts):
@@ -59,15 +58,22 @@ def test_piece_model(spark, tmp_path):
 
 
 def test_tables_share_one_cache(spark, tmp_path):
-    """What one table brought is no miss in another: only its new content is appended."""
-    schema = "doc_id long, text string"
-    for name, rows in (("a", [(1, "shared text"), (2, "only here")]), ("b", [(9, "shared  text"), (8, "new there")])):
-        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / name / "documents.parquet"))
-    stored = lambda: spark.read.parquet(f"{scratch_root(spark)}/token-counts").count()
+    cache = str(tmp_path / "cache")
+    spark.conf.set(T.CACHE_SETTING, cache)
+    try:
+        """What one table brought is no miss in another: only its new content is appended."""
+        schema = "doc_id long, text string"
+        for name, rows in (("a", [(1, "shared text"), (2, "only here")]), ("b", [(9, "shared  text"), (8, "new there")])):
+            spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / name / "documents.parquet"))
+        stored = lambda: spark.read.parquet(cache).count()
+        T.op8(spark, str(tmp_path / "a")).collect()
+        before = stored()
+        got = {r["doc_id"]: r["n_tokens"] for r in T.op8(spark, str(tmp_path / "b")).collect()}
+        assert stored() == before + 1 and [got[9], got[8]] == library(["shared  text", "new there"])
+    finally:
+        spark.conf.unset(T.CACHE_SETTING)
     T.op8(spark, str(tmp_path / "a")).collect()
-    before = stored()
-    got = {r["doc_id"]: r["n_tokens"] for r in T.op8(spark, str(tmp_path / "b")).collect()}
-    assert stored() == before + 1 and [got[9], got[8]] == library(["shared  text", "new there"])
+    assert stored() == before + 1  # without the setting a call has a cache of its own
 
 
 def test_very_long_texts(spark, tmp_path):
