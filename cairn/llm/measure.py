@@ -1,15 +1,20 @@
-"""Recall of the operators that search approximately, against brute force: ``python -m cairn.llm.measure neighbours|shard|jaccard FOLDER``."""
+"""Recall of the operators that search approximately, against brute force, and what decides the repeats of suffix dedup:
+``python -m cairn.llm.measure neighbours|shard|jaccard|repeats FOLDER``."""
 
 from __future__ import annotations
 
 import sys
 import time
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cairn.llm import jaccard, neighbours
+from cairn.llm import jaccard, neighbours, suffixes
+from cairn.llm.common import keyed, release, text_or_empty
 from cairn.llm.shingles import shingle_hashes
 
 
@@ -83,6 +88,45 @@ def recall_of_jaccard(spark: SparkSession, docs: DataFrame, every: int = 100, si
     return found / max(total, 1), total
 
 
+#: What can show that a string repeats, in the order in which it is asked: whole phrases and pieces by their names, the sort, counts.
+EVIDENCE = ("phrases", "pieces", "sort", "counts")
+
+
+def _bytes_by_evidence(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = np.zeros(len(EVIDENCE), np.int64)
+            for size, marks, extra in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                gone = np.zeros(size, bool)
+                for kind in range(len(EVIDENCE)):
+                    spans = [m for m in marks if m["repeated"]] if kind == 0 else [e for e in extra or [] if e["kind"] == kind]
+                    edges = np.zeros(size + 1, np.int64)
+                    np.add.at(edges, [s["start"] for s in spans], 1)
+                    np.add.at(edges, [s["start"] + s["run"] - 1 + length for s in spans], -1)
+                    covered = np.cumsum(edges)[:-1] > 0
+                    sums[kind] += np.count_nonzero(covered & ~gone)
+                    gone |= covered
+            yield pa.RecordBatch.from_arrays([pa.array([int(n)]) for n in sums], names=list(EVIDENCE))
+
+    return run
+
+
+def decided_repeats(docs: DataFrame, length: int = suffixes.LENGTH) -> dict[str, int]:
+    """Removed bytes of distinct rows by what shows first that they repeat, and the pieces and bytes that are sorted."""
+    texts = keyed(docs.select("doc_id", text_or_empty().alias("text"))).select("u", "v", "text")
+    work, *found, pieces, temporary = suffixes._evidence(texts, length, suffixes.ANCHOR)
+    rows = None
+    for kind, part in enumerate(found, 1):
+        part = part.withColumn("kind", F.lit(kind))
+        rows = part if rows is None else rows.unionByName(part)
+    extra = rows.groupBy("u", "v").agg(F.collect_set(F.struct("start", "run", "kind")).alias("extra"))
+    sums = work.join(extra, ["u", "v"], "left").select(F.octet_length("text"), "marks", "extra").mapInArrow(_bytes_by_evidence(length), ", ".join(f"{k} bigint" for k in EVIDENCE))
+    out = sums.agg(*(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in EVIDENCE)).first().asDict()
+    out |= pieces.agg(F.count(F.lit(1)).alias("open_pieces"), F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0)).alias("open_bytes")).first().asDict()
+    release(work, *temporary)
+    return out
+
+
 if __name__ == "__main__":
     from cairn.session import session
 
@@ -91,4 +135,7 @@ if __name__ == "__main__":
         print(recall_of_one_shard(folder))
     else:
         spark = session("local[8]", "recall", **{"spark.sql.shuffle.partitions": "16", "spark.ui.enabled": "false", "spark.driver.memory": "8g"})
-        print(recall_of_neighbours(spark, folder) if what == "neighbours" else recall_of_jaccard(spark, spark.read.parquet(f"{folder}/documents.parquet")))
+        if what == "neighbours":
+            print(recall_of_neighbours(spark, folder))
+        else:
+            print({"jaccard": recall_of_jaccard, "repeats": lambda spark, docs: decided_repeats(docs)}[what](spark, spark.read.parquet(f"{folder}/documents.parquet")))

@@ -325,19 +325,10 @@ def _first_of_repeated(rows: DataFrame, keys: list[str], first_start) -> DataFra
     return joined.withColumn("open", F.col("open") & (~F.col("repeated") | (place == F.col("head")))).drop("head")
 
 
-def repeated_bytes(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
-    """Per distinct row (u, v) with removed bytes: n_removed, n_spans, kept_sha256, spans and ``kept``; ``docs`` is (u, v, text).
-
-    ``kept`` is the remaining bytes as text, without what is left of a character that a span cuts.
+def _evidence(docs: DataFrame, length: int, anchor: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame, tuple[DataFrame, ...]]:
+    """Steps 1 to 3 of :func:`repeated_bytes`: texts with their phrases' marks, then the strings (u, v, start, run) that
 
-    A byte goes if a string of ``length`` bytes covers it that starts anywhere else too, in any text.
-
-    (1) Texts are cut to phrases at anchors that equal strings share. A phrase whose anchor is nowhere else repeats
-    nothing; a phrase of equal content elsewhere repeats whole. (2) The others, at the ends of repeats, are cut to
-    pieces by distance from the anchor, and again only pieces that share nearly all bytes with different ones stay
-    open. (3) Open pieces, and one of each kind they may repeat, are dealt by what they share; each task sorts their
-    suffixes by the difference cover and compares neighbours' first ``length`` bytes. Groups of very many pieces are cut
-    to single strings, of which equal ones are counted instead. (4) Spans are joined to the texts they come from.
+    repeat by their pieces' names, by the sort, and by counts; the open pieces; and what to release when all are read.
     """
     found = docs.where(F.octet_length("text") >= length).mapInArrow(_phrase_batches(length, anchor), "u bigint, v bigint, anchor bigint, content bigint, content2 bigint, start int, run int, recurs boolean")
     rows = materialize(found, "suffixes-phrases")
@@ -368,9 +359,27 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     single = texts.join(large, "key").select("u", "v", F.posexplode(F.sequence(F.lit(1), F.octet_length("bytes") - length + 1)).alias("i", "p"), "start", "bytes")
     single = single.select("u", "v", (F.col("start") + F.col("i")).alias("start"), F.xxhash64(F.expr(f"substring(bytes, p, {length})")).alias("a"), F.xxhash64(F.lit(1), F.expr(f"substring(bytes, p, {length})")).alias("b"))
     twice = single.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    more = sorted_.select("u", "v", F.explode("starts").alias("start")).union(single.join(twice, ["a", "b"]).select("u", "v", "start")).withColumn("run", F.lit(1))
-    extra = materialize(known.union(more).groupBy("u", "v").agg(F.collect_set(F.struct("start", "run")).alias("extra")), "suffixes-extra")
-    release(piece, texts)
+    one = F.lit(1).alias("run")
+    return work, known, sorted_.select("u", "v", F.explode("starts").alias("start"), one), single.join(twice, ["a", "b"]).select("u", "v", "start", one), texts, (piece, texts)
+
+
+def repeated_bytes(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
+    """Per distinct row (u, v) with removed bytes: n_removed, n_spans, kept_sha256, spans and ``kept``; ``docs`` is (u, v, text).
+
+    ``kept`` is the remaining bytes as text, without what is left of a character that a span cuts.
+
+    A byte goes if a string of ``length`` bytes covers it that starts anywhere else too, in any text.
+
+    (1) Texts are cut to phrases at anchors that equal strings share. A phrase whose anchor is nowhere else repeats
+    nothing; a phrase of equal content elsewhere repeats whole. (2) The others, at the ends of repeats, are cut to
+    pieces by distance from the anchor, and again only pieces that share nearly all bytes with different ones stay
+    open. (3) Open pieces, and one of each kind they may repeat, are dealt by what they share; each task sorts their
+    suffixes by the difference cover and compares neighbours' first ``length`` bytes. Groups of very many pieces are cut
+    to single strings, of which equal ones are counted instead. (4) Spans are joined to the texts they come from.
+    """
+    work, known, sorted_, counted, _, temporary = _evidence(docs, length, anchor)
+    extra = materialize(known.union(sorted_).union(counted).groupBy("u", "v").agg(F.collect_set(F.struct("start", "run")).alias("extra")), "suffixes-extra")
+    release(*temporary)
     covered = work.join(extra, ["u", "v"], "left").select("u", "v", "text", "marks", "extra").mapInArrow(
         _cover_batches(length), "u bigint, v bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:int,end:int>>, kept string"
     )

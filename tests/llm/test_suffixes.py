@@ -101,3 +101,13 @@ def test_whole_table(spark, data_dir):
     docs = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{data_dir}/documents.parquet").collect())
     rows = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in S.op1(spark, data_dir).collect()}
     assert [rows[i] for i, _ in docs] == plain([t for _, t in docs], 200)
+
+
+def test_evidence_adds_up(spark):
+    from cairn.llm.measure import EVIDENCE, decided_repeats
+
+    texts = list(dict.fromkeys(t for t in corpus() if t))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sums = decided_repeats(df)
+    assert sum(sums[k] for k in EVIDENCE) == sum(r[1] for r in plain(texts, 200))
+    assert sums["sort"] > 0 and sums["counts"] == 0 and sums["open_pieces"] > 0
