@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.model import decode_chunk_list, encode_chunk_list
+
 
 def reassemble(refs: DataFrame, chunks: DataFrame, by: list[str]) -> DataFrame:
     """(by, data): the contents that the references describe. ``chunks`` has a row for each hash.
@@ -35,3 +40,29 @@ def cut_range(wanted: DataFrame, chunks: DataFrame, by: list[str], start: int, s
 def read_range(refs: DataFrame, chunks: DataFrame, by: list[str], start: int, size: int) -> DataFrame:
     """(by, data): ``size`` bytes from ``start`` of each content, of which only the chunks that overlap are read."""
     return cut_range(overlapping(refs, by, start, size), chunks, by, start, size)
+
+
+def encoded_lists(refs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, list): the chunk list of each content in ``refs`` (keys, ord, hash, len), as bytes in the order of ord."""
+    lists = refs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ord", "hash", "len"))).alias("list"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = [encode_chunk_list([(c["hash"], c["len"]) for c in row]) for row in batch.column("list").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(data, pa.binary())], names=[*keys, "list"])
+
+    return lists.mapInArrow(run, lists.drop("list").schema.add("list", "binary"))
+
+
+def decoded_lists(lists: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, ord, hash, len) of chunk lists (keys, list); the reverse of :func:`encoded_lists`."""
+    kinds = lists.select(*keys).schema.add("ord", "integer").add("hash", "string").add("len", "long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [decode_chunk_list(data) for data in batch.column("list").to_pylist()]
+            at = pa.array([i for i, row in enumerate(found) for _ in row], pa.int64())
+            columns = [pa.array([n for row in found for n in range(len(row))], pa.int32()), pa.array([h for row in found for h, _ in row], pa.string()), pa.array([n for row in found for _, n in row], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in keys), *columns], names=kinds.names)
+
+    return lists.select(*keys, "list").mapInArrow(run, kinds)

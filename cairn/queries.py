@@ -635,6 +635,24 @@ def versions_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.versions_in_order(compare.versions(e)).select("path", "mtime", "size", F.col("snapshot").alias("first"), "place")
 
 
+@query(f"SELECT doc_id, {_size_sql('x')} || '/s' AS shown FROM (SELECT doc_id, floor(octet_length(encode(text)) * (doc_id % 13 + 1) * (doc_id % 17 + 1) / (doc_id % 9 + 0.5)::DOUBLE)::BIGINT AS x FROM documents)")
+def format_speeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = F.octet_length("text").cast("long") * (F.col("doc_id") % 13 + 1) * (F.col("doc_id") % 17 + 1)
+    return read_table(spark, sf_dir, "documents").select("doc_id", scalars.format_speed(done, (F.col("doc_id") % 9).cast("double") + 0.5).alias("shown"))
+
+
+_HALF = "{h}[15:16] || {h}[13:14] || {h}[11:12] || {h}[9:10] || {h}[7:8] || {h}[5:6] || {h}[3:4] || {h}[1:2]"
+_ITEM = f"{_HALF.format(h='hash')} || {_HALF.format(h='hash[17:32]')} || printf('%02x%02x%02x%02x', len & 255, (len >> 8) & 255, (len >> 16) & 255, len >> 24)"
+
+
+@query(f"WITH {REFS} SELECT path, md5(string_agg({_ITEM}, '' ORDER BY ord)) AS list, count(*) AS chunks, sum(len)::BIGINT AS size, min(hash) AS least FROM crefs GROUP BY path")
+def chunk_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunk list of each document as bytes, and what is read back from them."""
+    lists = materialize(restore.encoded_lists(src.references(spark, sf_dir).select("path", "ord", "hash", "len"), ["path"]), "chunk-lists")
+    back = restore.decoded_lists(lists, ["path"]).groupBy("path").agg(F.count(F.lit(1)).alias("chunks"), F.sum("len").alias("size"), F.min("hash").alias("least"))
+    return lists.select("path", F.md5(F.lower(F.hex("list")).cast("binary")).alias("list")).join(back, "path")
+
+
 # ---- repositories ----------------------------------------------------------------------------------------------------
 
 
@@ -739,6 +757,47 @@ def misplaced_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.misplaced(docs.unionByName(below))
 
 
+@query(f"WITH {DOCS} SELECT path, size, md5(text) AS content_id FROM docs")
+def snapshot_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A snapshot under another name stays whole when the first one is removed and what nothing refers to is compacted."""
+    repo = _repository(spark)
+    repo.backup(_as_files(src.documents(spark, sf_dir)), "one", "2024-01-01 10:00:00")
+    repo.copy("one", "two")
+    repo.remove("one")
+    repo.vacuum(1.0, force=True)
+    return _contents(repo, "two")
+
+
+@query(f"WITH {DOCS}, {snapshot_sql(1)}, {snapshot_sql(2)} SELECT 'one' AS snapshot, path, size, content_id FROM v1 UNION ALL SELECT 'two', path, size, content_id FROM v2")
+def imported_repository(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All snapshots of a repository, read from the one that took them in."""
+    there = _repository(spark)
+    there.backup(_as_files(src.snapshot(spark, sf_dir, 1)), "one", "2024-01-01 10:00:00")
+    there.backup(_as_files(src.snapshot(spark, sf_dir, 2)), "two", "2024-01-02 10:00:00")
+    repo = Repository.import_from(spark, f"{scratch_root(spark)}/repository-{uuid.uuid4().hex}", there.root)
+    return _contents(repo, "one").withColumn("snapshot", F.lit("one")).unionByName(_contents(repo, "two").withColumn("snapshot", F.lit("two")))
+
+
+@query(
+    f"WITH {REFS} SELECT 'entries' AS name, (SELECT count(*) FROM docs) AS rows_left UNION ALL SELECT 'chunk_refs', (SELECT count(*) FROM crefs JOIN docs USING (path) WHERE size >= 100)"
+    " UNION ALL SELECT 'chunks', 0 UNION ALL SELECT 'bundles', 0"
+)
+def reconciled_repository(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a backup that ended before its snapshot was there has left: entries and references go, chunks stay for the next one."""
+    repo = _repository(spark)
+
+    def end(table: str) -> None:
+        if table == "snapshots":
+            raise _Ended
+
+    repo._before = end
+    try:
+        repo.backup(_as_files(src.documents(spark, sf_dir)), "one", "2024-01-01 10:00:00")
+    except _Ended:
+        repo = Repository(spark, repo.root)
+    return repo.reconcile().select(F.col("table").alias("name"), F.col("rows").alias("rows_left"))
+
+
 def chunker_listing(spark: SparkSession, sf_dir: str, chunker: str) -> DataFrame:
     """Chunks of the documents by any chunker, for ad hoc use."""
     return chunking.chunks(src.documents(spark, sf_dir), "data", Chunker.parse(chunker), ["doc_id"])

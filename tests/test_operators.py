@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.functions.keys import Key
-from cairn.operators import compare, dedup, integrity, retention, rollup, usage, views
+from cairn.operators import compare, dedup, integrity, restore, retention, rollup, usage, views
 from cairn.tables import running_total
 
 
@@ -139,3 +139,12 @@ def test_keys(spark, tmp_path):
 
     df = spark.createDataFrame([(b"data",)], "d binary")
     assert bytes(df.select(decrypted(encrypted(F.col("d"), key.column()), key.column())).first()[0]) == b"data"
+
+
+def test_chunk_lists(spark):
+    rows = [("a", 1, "00" * 15 + "0f", 7), ("a", 0, "0123456789abcdef" * 2, 300), ("b", 0, "ff" * 16, 0)]
+    refs = spark.createDataFrame(rows, "path string, ord int, hash string, len long")
+    lists = restore.encoded_lists(refs, ["path"])
+    assert {r["path"]: len(r["list"]) for r in lists.collect()} == {"a": 40, "b": 20}
+    assert sorted(map(tuple, restore.decoded_lists(lists, ["path"]).collect())) == sorted(rows)
+    assert restore.decoded_lists(restore.encoded_lists(refs.where("ord > 5"), ["path"]), ["path"]).count() == 0
